@@ -13,14 +13,29 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliospark.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), byte_bpe_path())
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.quality_rules import quality_rules
+
+    kept = quality_rules(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op7_token_counts": op7_token_counts,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
