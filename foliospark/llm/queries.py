@@ -19,6 +19,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.token_files import token_files
+
+    return token_files(table(spark, sf_dir, "documents"), byte_bpe_path())
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliospark.llm.token_counts import count_tokens
 
@@ -34,6 +40,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op4_token_files": op4_token_files,
     "op7_token_counts": op7_token_counts,
     "op9_quality_rules": op9_quality_rules,
 }
