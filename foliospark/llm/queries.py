@@ -38,11 +38,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_token_files": op4_token_files,
     "op7_token_counts": op7_token_counts,
     "op9_quality_rules": op9_quality_rules,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {}
