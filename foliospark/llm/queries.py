@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliospark.llm import licence_scan
 from foliospark.llm.common import table
 
 
@@ -25,6 +26,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), byte_bpe_path())
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliospark.llm.token_counts import count_tokens
 
@@ -47,9 +52,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_token_files": op4_token_files,
+    "op6_licence_scan": op6_licence_scan,
     "op7_token_counts": op7_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_licence_scan": licence_scan.oracle(),
+}
