@@ -26,6 +26,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), byte_bpe_path())
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan.licence_scan(table(spark, sf_dir, "documents"))
 
@@ -52,6 +58,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_token_files": op4_token_files,
+    "op5_decontamination": op5_decontamination,
     "op6_licence_scan": op6_licence_scan,
     "op7_token_counts": op7_token_counts,
     "op9_quality_rules": op9_quality_rules,
