@@ -2,8 +2,8 @@
 
 Items are the index's documents. Impacts are BM25 weights divided by the item's weight of all its own terms, so a passage's
 score is the share of the item that it holds. Items stand in blocks; each term's list has its blocks with their largest
-impact. A passage's terms of least impact that together stay below the threshold cannot carry an item alone, so only the
-other lists are walked; blocks whose bound (what was met, plus all that was not walked) stays below the threshold are skipped,
+impact. A passage's terms of least impact that together stay below the threshold cannot carry an item alone, so only other
+lists are walked; blocks whose bound (what was met, plus all that was not walked) stays below the threshold are skipped,
 then those whose summed block maxima do; the items of the rest are scored exactly. The tests run for all passages of a slice
 at once. Items at or above the threshold are verified on their words.
 """
@@ -28,6 +28,8 @@ SHINGLE = 5
 K1, B = 1.2, 0.75
 #: Items of one block, and bytes of item text in one index (more items are searched in further indexes).
 BLOCK, INDEX_BYTES = 4, 16 << 20
+#: Share of the threshold up to which lists of little impact stay unwalked, and cells up to which blocks are looked up directly.
+UNWALKED, DIRECT = 0.7, 1 << 24
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 
 
@@ -84,6 +86,20 @@ class ItemIndex:
         self.list_start = np.searchsorted(terms, np.arange(self.none + 2))
         self.list_max = np.zeros(self.none + 1, np.float32)
         np.maximum.at(self.list_max, terms, self.cell_max)
+        self.direct = None  # cell by (term, block), where that table is small; keys are searched otherwise
+        if (self.none + 1) * self.n_blocks <= DIRECT:
+            self.direct = np.full((self.none + 1) * self.n_blocks, len(self.keys), np.int32)
+            self.direct[self.keys] = np.arange(len(self.keys))
+        self.cell_max = np.append(self.cell_max, np.float32(0))
+        self.cells = np.concatenate([self.cells, np.zeros((1, BLOCK), np.float32)])
+
+    def cells_at(self, rows: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Numbers of the cells of each row's terms in its block; one of no impact where there is none."""
+        if self.direct is not None:
+            return self.direct[rows * self.n_blocks + block[:, None]]
+        key = rows.astype(np.int64) * self.n_blocks + block[:, None]
+        cell = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[cell] == key, cell, len(self.keys))
 
     def passages(self, words: list[str]) -> np.ndarray:
         """Distinct term numbers of the text's overlapping passages, a row each; none fills up and stands for repeats."""
@@ -107,7 +123,7 @@ class ItemIndex:
         rows, bound = rows[live], bound[live]
         order = np.argsort(bound, axis=1)
         rows, bound = np.take_along_axis(rows, order, 1), np.take_along_axis(bound, order, 1)
-        skipped = np.cumsum(bound, axis=1) < least
+        skipped = np.cumsum(bound, axis=1) < UNWALKED * least
         rest = (bound * skipped).sum(axis=1)
         where, at = np.nonzero(~skipped & (bound > 0))
         terms = rows[where, at]
@@ -119,11 +135,9 @@ class ItemIndex:
         out = []
         for part in np.array_split(met, max(1, len(met) // 4096)):
             p, block = part // self.n_blocks, part % self.n_blocks
-            key = rows[p].astype(np.int64) * self.n_blocks + block[:, None]
-            cell = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            there = self.keys[cell] == key
-            ok = np.flatnonzero((self.cell_max[cell] * there).sum(axis=1) >= least)
-            scores = (self.cells[cell[ok]] * there[ok][:, :, None]).sum(axis=1)
+            cell = self.cells_at(rows[p], block)
+            ok = np.flatnonzero(self.cell_max[cell].sum(axis=1) >= least)
+            scores = self.cells[cell[ok]].sum(axis=1)
             i, lane = np.nonzero(scores >= least)
             out.append((live[p[ok[i]]], block[ok[i]] * BLOCK + lane, scores[i, lane]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else empty
