@@ -48,6 +48,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), byte_bpe_path())
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliospark.llm.quality_rules import quality_rules
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_licence_scan": op6_licence_scan,
     "op7_token_counts": op7_token_counts,
+    "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
