@@ -35,7 +35,7 @@ class UnitCounter(UnitCoder):
     """Token counts of units instead of their ids."""
 
     def __init__(self, spec: str):
-        super().__init__(spec, memo_size=1_000_000)
+        super().__init__(spec, memo_size=500_000)
         self.wholes = whole_tokens(spec)
 
     def learn(self, units: list[str]) -> None:
@@ -47,11 +47,11 @@ class UnitCounter(UnitCoder):
 
     def count(self, texts: list[str | None]) -> list[int]:
         cut = [UNIT.findall(t) if t and self.plain(t) else None for t in texts]
-        if len(self.memo) > self.memo_size:
-            self.memo.clear()
+        self.turn()
         memo = self.memo
-        if new := list({u for units in cut if units for u in units if u not in memo}):
-            self.learn(new)
+        if new := {u for units in cut if units for u in units if u not in memo}:
+            self.recall(new)
+            self.learn(list(new))
         return [0 if not t else len(self.whole(t)) // 4 if units is None else sum(map(memo.__getitem__, units)) for t, units in zip(texts, cut, strict=True)]
 
 

@@ -37,18 +37,19 @@ MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 def pack(ids: np.ndarray, counts: list[int]) -> bytes:
     """A segment of ids (u4) of len(counts) documents with so many ids each."""
-    table, inverse, seen = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((table, -seen))
-    rank = np.empty(len(table), np.uint32)
-    rank[order] = np.arange(len(table), dtype=np.uint32)
-    ranks = rank[inverse.reshape(-1)]
+    seen = np.bincount(ids)  # ids are a vocabulary's, so this is small
+    table = np.flatnonzero(seen)
+    table = table[np.argsort(-seen[table], kind="stable")]
+    rank = np.zeros(len(seen), np.uint32)
+    rank[table] = np.arange(len(table), dtype=np.uint32)
+    ranks = rank[ids]
     codes = ((ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
     padded = np.zeros(-len(codes) % 4 + len(codes), np.uint8)
     padded[: len(codes)] = codes
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
     raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
     data = raw[np.arange(4) <= codes[:, None]]
-    return b"".join((HEAD.pack(MAGIC, len(ids), len(counts), len(table), len(data)), table[order].astype("<u4").tobytes(), control.tobytes(), data.tobytes(), np.asarray(counts, "<u4").tobytes()))
+    return b"".join((HEAD.pack(MAGIC, len(ids), len(counts), len(table), len(data)), table.astype("<u4").tobytes(), control.tobytes(), data.tobytes(), np.asarray(counts, "<u4").tobytes()))
 
 
 def unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
