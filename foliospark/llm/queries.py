@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliospark.llm import licence_scan
 from foliospark.llm.common import table
@@ -26,6 +27,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.repeats import repeated_documents
+
+    found = repeated_documents(table(spark, sf_dir, "documents"))
+    return found.withColumn("passages", F.to_json("passages"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliospark.llm.token_files import token_files
 
@@ -70,6 +78,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_mixing": op2_mixing,
+    "op3_repeats": op3_repeats,
     "op4_token_files": op4_token_files,
     "op5_decontamination": op5_decontamination,
     "op6_licence_scan": op6_licence_scan,
