@@ -1,4 +1,3 @@
-import re
 from collections import Counter
 
 import pytest
@@ -6,19 +5,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.mixing import mix, mixture, shard_quotas
 from foliospark.llm.quality_rules import host_counts, host_verdicts, keep_good, quality_rules
-
-SPACES = "\x20\x09-\x0d"
-
-
-def measures(text):
-    text = text or ""
-    words = re.findall(f"[^{SPACES}]+", text)
-    windows = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
-    covered = {j for k in range(len(words) - 4) if windows[tuple(words[k : k + 5])] > 1 for j in range(k, k + 5)}
-    lines = [x for x in text.split("\n") if re.search(f"[^{SPACES}]", x)]
-    failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed
-
+from tests_llm_truth import measures
 
 def test_rules_against_brute_force(edge_docs, edge_rows, no_docs):
     got = sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules(edge_docs).collect())

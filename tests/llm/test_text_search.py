@@ -3,7 +3,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -11,6 +10,7 @@ from foliospark.llm import decontaminate as D
 from foliospark.llm import licence_scan as L
 from foliospark.llm import repeats as R
 from foliospark.llm import simhash as S
+from tests_llm_truth import fingerprint, least_ids
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -18,36 +18,11 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # simhash -------------------------------------------------------------------------------------------------------------
 
 
-def fingerprint(text):
-    words = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOWER))
-    cut = [" ".join(words[k : k + 4]) for k in range(len(words) - 3)] or ([" ".join(words)] if words else [])
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in cut]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
 def test_fingerprints(edge_rows):
     texts = [t for _, t, *_ in edge_rows if t is None or len(t) < 1000]
     assert [int(x) % (1 << 64) for x in S.fingerprints(texts)] == [fingerprint(t) for t in texts]
 
 
-def least_ids(ids, fps, bits):
-    fps, parent = np.array(fps, np.uint64), list(range(len(ids)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(ids)):
-        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= bits) + i + 1:
-            a, b = root(i), root(int(j))
-            parent[max(a, b)] = min(a, b)
-    groups = {}
-    for i in range(len(ids)):
-        groups.setdefault(root(i), []).append(ids[i])
-    return {i: min(g) for g in groups.values() for i in g}
-
-
 @pytest.mark.parametrize("parts", [2, 3, 4, 5])
 def test_links_reach_all_neighbours(spark, parts):
     rng = np.random.default_rng(parts)
