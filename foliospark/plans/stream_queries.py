@@ -40,5 +40,5 @@ def paced_starts(spark, d):
 
 
 QUERIES["paced_starts"] = paced_starts
-ORACLES["paced_starts"] = """with recursive e as (select event_id, user_id, epoch(date_trunc('second', ts))::double + event_id / 100000 at, row_number() over (partition by user_id order by ts, event_id) k from events),
-  s as (select event_id, user_id, k, at start from e where k = 1 union all select e.event_id, e.user_id, e.k, greatest(e.at, s.start + 600) from s join e on e.user_id = s.user_id and e.k = s.k + 1) select event_id, round(start, 3) start from s"""
+ORACLES["paced_starts"] = """with recursive e as (select event_id, user_id, epoch(date_trunc('second', ts))::double + event_id / 100000 arr, row_number() over (partition by user_id order by ts, event_id) k from events),
+  s as (select event_id, user_id, k, arr start from e where k = 1 union all select e.event_id, e.user_id, e.k, greatest(e.arr, s.start + 600) from s join e on e.user_id = s.user_id and e.k = s.k + 1) select event_id, round(start, 3) start from s"""
