@@ -9,6 +9,7 @@ and special tokens inside texts, go to the library as they are.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -21,7 +22,7 @@ ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    　
 class UnitCoder:
     """Ids of whole texts. The memo has two generations of at most memo_size units: a full one becomes the old one."""
 
-    def __init__(self, spec: str, memo_size: int = 350_000):
+    def __init__(self, spec: str, memo_size: int = 450_000):
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
@@ -75,16 +76,11 @@ class UnitCoder:
         """For each text its ids as little-endian unsigned 32-bit integers; none for null."""
         cut = [UNIT.findall(t) if t and self.plain(t) else None for t in texts]
         self.turn()
-        get = self.memo.get
-        found = [list(map(get, units)) if units else [] for units in cut]
-        gaps = [[i for i, x in enumerate(coded) if x is None] if None in coded else () for coded in found]
-        if new := {units[i] for units, at in zip(cut, gaps, strict=True) for i in at}:
+        if new := set(chain.from_iterable(filter(None, cut))).difference(self.memo):
             self.recall(new)
             self.learn(list(new))
-        for units, coded, at in zip(cut, found, gaps, strict=True):
-            for i in at:
-                coded[i] = get(units[i])
-        return [b"" if not t else self.whole(t) if units is None else b"".join(coded) for t, units, coded in zip(texts, cut, found, strict=True)]
+        get = self.memo.__getitem__
+        return [b"" if not t else self.whole(t) if units is None else b"".join(map(get, units)) for t, units in zip(texts, cut, strict=True)]
 
 
 _CODERS: dict[tuple, object] = {}

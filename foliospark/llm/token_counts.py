@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,7 +50,7 @@ class UnitCounter(UnitCoder):
         cut = [UNIT.findall(t) if t and self.plain(t) else None for t in texts]
         self.turn()
         memo = self.memo
-        if new := {u for units in cut if units for u in units if u not in memo}:
+        if new := set(chain.from_iterable(filter(None, cut))).difference(memo):
             self.recall(new)
             self.learn(list(new))
         return [0 if not t else len(self.whole(t)) // 4 if units is None else sum(map(memo.__getitem__, units)) for t, units in zip(texts, cut, strict=True)]

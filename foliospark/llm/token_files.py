@@ -48,7 +48,8 @@ def pack(ids: np.ndarray, counts: list[int]) -> bytes:
     padded[: len(codes)] = codes
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
     raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    data = raw[np.arange(4) <= codes[:, None]]
+    width = int(codes.max()) + 1 if len(codes) else 1
+    data = raw[:, :width][np.arange(width) <= codes[:, None]]
     return b"".join((HEAD.pack(MAGIC, len(ids), len(counts), len(table), len(data)), table.astype("<u4").tobytes(), control.tobytes(), data.tobytes(), np.asarray(counts, "<u4").tobytes()))
 
 
@@ -132,29 +133,29 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", wit
     before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
     parts = parts.select(F.col("part").alias("p"), before(Window.partitionBy(F.lit(0)).orderBy("part")).alias("part_start"))
-    starts = sizes.select("part", "seg", before(Window.partitionBy("part").orderBy("seg")).alias("in_part")).join(parts, F.col("part") == F.col("p")).select(F.col("p"), F.col("seg").alias("s"), (F.col("in_part") + F.col("part_start")).alias("start"))
+    starts = sizes.select("part", "seg", before(Window.partitionBy("part").orderBy("seg")).alias("in_part")).join(parts, F.col("part") == F.col("p")).select(F.col("p"), F.col("seg").alias("s"), (F.col("in_part") + F.col("part_start")).alias("seg_start"))
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, counts = unpack(batch.column(2)[k].as_py())
+                ids, counts = unpack(batch.column(3)[k].as_py())
                 ends = np.cumsum(counts, dtype=np.int64)
                 begins = ends - counts
                 raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                 crc = [zlib.crc32(raw[4 * b : 4 * e]) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
                 n = len(counts)
-                keys = batch.column(1)[k].values
-                columns = [pa.repeat(batch.column(0)[k], n), pa.array(np.asarray(batch.column(3)[k].as_py() + begins)), keys, pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64())]
-                names = ["part", "start", "id", "n_tokens", "ids_crc32"]
+                columns = [pa.repeat(batch.column(0)[k], n), pa.repeat(batch.column(1)[k], n), pa.array(begins), batch.column(2)[k].values, pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64())]
+                names = ["part", "seg", "begin", "id", "n_tokens", "ids_crc32"]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(begins, ends[-1:]).astype(np.int32)), pa.array(ids.astype(np.int64))))
                     names.append("ids")
                 for at in range(0, n, 10_000):
                     yield pa.RecordBatch.from_arrays([c.slice(at, 10_000) for c in columns], names=names)
 
-    met = segments.join(starts, (F.col("part") == F.col("p")) & (F.col("seg") == F.col("s"))).select("part", "doc_ids", "body", "start")
-    read = met.mapInArrow(run, f"part int, start long, id {kind}, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
-    return read.select(F.col("id").alias(id_col), "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    # decoded where the segments lie; only the documents' few numbers meet the segments' starts
+    read = segments.select("part", "seg", "doc_ids", "body").mapInArrow(run, f"part int, seg int, begin long, id {kind}, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    met = read.join(starts, (F.col("part") == F.col("p")) & (F.col("seg") == F.col("s")))
+    return met.select(F.col("id").alias(id_col), (F.col("seg_start") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
