@@ -164,7 +164,7 @@ def detect_width(lines: DataFrame, key: str) -> DataFrame:
     """(key, width) of documents that were wrapped at a fixed width: over the first 20,000 lines that are not blank.
 
     Display width counts wide characters twice. The width is the commonest of 30 or more (of equal ones the first seen)."""
-    wide = r"[ᄀ-ᅟ⺀-〾ぁ-㏿㐀-䶿一-鿿ꀀ-꓏가-힣豈-﫿︰-﹏＀-｠￠-￦]"
+    wide = r"[ᄀ-ᅟ⺀-〾ぁ-㏿㐀-䶿一-鿿ꀀ-꓏가-힣\uf900-\ufaff︰-﹏＀-｠￠-￦]"
     t = lines.where(T.strip(F.col("line")) != "").withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where("k <= 20000")
     t = t.withColumns({"w": F.length("line") + F.regexp_count("line", F.lit(wide)), "ends": F.regexp_replace("line", r"(?U)\s+$", "").rlike(r"[。！？!?…”」』》）)～~]\z")})
     widths = t.where("w >= 30").groupBy(key, "w").agg(F.count("*").alias("n"), F.min("k").alias("first"))

@@ -36,9 +36,9 @@ ORACLES["stream_settled"] = f"select task_id, pages, failed, case when failed >
 
 def paced_starts(spark, d):
     e = S.table(spark, d, "events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"))
-    return T.paced(e.withColumn("at", F.col("at") + F.col("event_id") / 100000), "user_id", "at", 600.0).select("event_id", F.bround("start", 3).alias("start"))
+    return T.paced(e.withColumn("at", F.col("at") + F.col("event_id") / 100000), "user_id", "at", 600.0).select("event_id", F.round(F.col("start") - 1704067200, 3).alias("start"))
 
 
 QUERIES["paced_starts"] = paced_starts
-ORACLES["paced_starts"] = """with recursive e as (select event_id, user_id, epoch(date_trunc('second', ts))::double + event_id / 100000 arr, row_number() over (partition by user_id order by ts, event_id) k from events),
-  s as (select event_id, user_id, k, arr start from e where k = 1 union all select e.event_id, e.user_id, e.k, greatest(e.arr, s.start + 600) from s join e on e.user_id = s.user_id and e.k = s.k + 1) select event_id, round(start, 3) start from s"""
+ORACLES["paced_starts"] = """with recursive e as (select event_id, user_id, epoch(date_trunc('second', ts))::double + event_id / 100000 arr, row_number() over (partition by user_id order by epoch(date_trunc('second', ts)) + event_id / 100000) k from events),
+  s as (select event_id, user_id, k, arr start from e where k = 1 union all select e.event_id, e.user_id, e.k, greatest(e.arr, s.start + 600) from s join e on e.user_id = s.user_id and e.k = s.k + 1) select event_id, round(start - 1704067200, 3) start from s"""

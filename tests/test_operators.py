@@ -179,3 +179,37 @@ def test_stream_emits_once(spark, tmp_path):
     go()
     go()
     assert read() == [(1, 1, 2, 0, "done"), (1, 2, 1, 0, "done"), (1, 3, 2, 2, "failed")]
+
+
+def test_segments(spark):
+    from foliospark.operators import library as Y
+
+    text = ["前文", "第一卷 山", "第一章 起", "甲", "第一章 起", "乙", "第二章 落", "丙", "第二卷 水", "第一章 起", "丁"]
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(text)] + [(2, i, "字" * 3000) for i in range(7)], "doc_id int, pos int, line string")
+    got = [(r.doc_id, r.chapter, r.title, r.n_paragraphs) for r in Y.segment_text(lines, "doc_id").orderBy("doc_id", "chapter").collect()]
+    assert got == [(1, 1, "前言", 1), (1, 2, "第一卷 山 · 第一章 起", 2), (1, 3, "第二章 落", 1), (1, 4, "第二卷 水 · 第一章 起", 1), (2, 1, "第 1 段", 3), (2, 2, "第 2 段", 3), (2, 3, "第 3 段", 1)]
+
+
+def test_volumes_hints_and_fonts(spark):
+    from foliospark.operators import library as Y
+
+    chapters = spark.createDataFrame([("a", i, f"u{i}") for i in range(1, 5)] + [("b", i, f"v{i}") for i in range(1, 5)], "book string, idx int, url string")
+    labels = spark.createDataFrame([("u1", "上"), ("u2", "上"), ("u3", "下"), ("u4", "下"), ("v1", "上")], "url string, label string")
+    rows = Y.labelled_volumes(chapters, labels, "book", "idx", 3).orderBy("book", "idx").collect()
+    assert [(r.volume, r.label, r.fallback) for r in rows] == [(1, "上", False)] * 2 + [(2, "下", False)] * 2 + [(1, "第1卷", True)] * 3 + [(2, "第2卷", True)]
+    books = spark.createDataFrame([("x", "http://h/a/", 1), ("y", "http://h/a", 2)], "book_id string, source_url string, created_at int")
+    assert Y.library_hint(spark.createDataFrame([("http://h/a//",)], "url string"), books).first().book_id == "y"
+    texts = spark.createDataFrame([(1, "天"), (2, ""), (3, "无")], "id int, text string")
+    out = Y.map_private_use(texts, spark.createDataFrame([("", "青"), ("", "空")], "code string, han string"), "id")
+    assert sorted((r.id, r.text, r.complete) for r in out.collect()) == [(1, "青天空", True), (2, "", False), (3, "无", True)]
+    rules = spark.createDataFrame([("a.toml", b'host = "H.com"\nversion = 1\n'), ("b.toml", b'host = "x"\nrun = "rm"'), ("c.toml", b"=")], "path string, content binary")
+    assert [(r.host, bool(r.error)) for r in Y.read_rules(rules).orderBy("path").collect()] == [("h.com", False), (None, True), (None, True)]
+
+
+def test_scripts():
+    from foliospark.functions import scripts as P
+
+    assert P.unescape_js(r"\x41中\n\'") == "A中\n'"
+    script = "eval(function(p,a,c,k,e,d){}('0 1=\\'2\\';',10,3,'var|x|y'.split('|'),0,{}))"
+    assert P.packed_payload(script) == "var x='y';" and P.packed_payload("none") is None
+    assert P.decompress_base64("BYUwNmD2Q===") in ("hello", None) and P.decompress_base64("!") is None and P.decompress_base64("Q===") == ""
