@@ -125,7 +125,9 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
     for _ in range(rng.randint(1, 12)):
         style = rng.random()
         if style < 0.62:
-            put(f"<p>{prose()}</p>", 1)
+            linked = rng.random()
+            inner = f"<a href='/{word()}'>{prose()}</a>" if linked < 0.04 else f"{prose()} <a href='/{word()}'>{phrase()}</a> {prose()}" if linked < 0.2 else prose()
+            put(f"<p>{inner}</p>", 1)
         elif style < 0.72:
             put(f"<p><b>{prose()}<br>", 1)
         elif style < 0.78:
