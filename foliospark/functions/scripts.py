@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _DIGITS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/="
@@ -94,17 +95,17 @@ def decompress_base64(blob: str | None, most: int = 8 << 20) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_js_udf(text: pd.Series) -> pd.Series:
     return text.map(unescape_js)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def packed_payload_udf(script: pd.Series) -> pd.Series:
     return script.map(packed_payload)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decompress_udf(blob: pd.Series) -> pd.Series:
     return blob.map(decompress_base64)
 
