@@ -117,3 +117,22 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     bad = hosts.where(~F.col("host_ok")).select(F.col("host").alias("bad_host"))
     kept = docs.withColumn("__m", rule_measures(F.col(text_col).cast("string"))).where(~base_failed(F.col("__m.n_words"), F.col("__m.n_repeat_words"))).drop("__m")
     return kept.join(bad, kept[host_col].eqNullSafe(bad["bad_host"]), "left_anti").select(*[kept[c] for c in docs.columns])
+
+
+def oracle(max_rate: float = 0.8, sure: float = 2.0) -> str:
+    """quality_rules() of documents in DuckDB SQL, over exploded windows (doc_id unique)."""
+    return rf"""
+with w as (select doc_id, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+g as (select doc_id, i, array_to_string(ws[i + 1 : i + {WINDOW}], ' ') s from (select doc_id, ws, unnest(range(len(ws) - {WINDOW - 1})) i from w where len(ws) >= {WINDOW})),
+r as (select doc_id, i, count(*) over (partition by doc_id, s) n from g),
+c as (select doc_id, count(distinct i + k) n from (select doc_id, i, unnest(range({WINDOW})) k from r where n > 1) group by 1),
+m as (select doc_id, source, len(ws)::BIGINT n_words, length(array_to_string(ws, ''))::BIGINT word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls, coalesce(c.n, 0)::BIGINT n_repeat_words from w left join c using (doc_id)),
+b as (select *, (len(ls) - len(list_distinct(ls)))::BIGINT n_dup_lines, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from m),
+h as (select source, count(*) n, count(*) filter (base_failed) f from b group by 1),
+s as (select *, least(greatest((f + 0.5) / (n + 1), 1e-6), 1 - 1e-6) mean from (select count(*) k, sum(n) n, sum(f) f, sum(f::DOUBLE / n * f) q, sum(n::DOUBLE * n) nn from h)),
+v as (select *, (q - n * mean * mean - (k - 1) * mean * (1 - mean)) / greatest(n - nn / n, 1) between_hosts from s),
+p as (select mean, least(50, case when between_hosts > 0 then least(greatest(mean * (1 - mean) / between_hosts - 1, 1), 1e6) else 1e6 end) strength from v),
+o as (select source, n, strength, (f + mean * strength) / (n + strength) rate from h, p)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rate - {sure} * sqrt(rate * (1 - rate) / (n + strength + 1)) <= {max_rate} kept
+from b join o on o.source is not distinct from b.source"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import licence_scan
+from foliospark.llm import licence_scan, quality_rules, repeats
 from foliospark.llm.common import table
 
 
@@ -28,9 +28,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from foliospark.llm.repeats import repeated_documents
-
-    found = repeated_documents(table(spark, sf_dir, "documents"))
+    found = repeats.repeated_documents(table(spark, sf_dir, "documents"))
     return found.withColumn("passages", F.to_json("passages"))
 
 
@@ -63,9 +61,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from foliospark.llm.quality_rules import quality_rules
-
-    kept = quality_rules(table(spark, sf_dir, "documents"))
+    kept = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -89,5 +85,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_repeats": repeats.oracle(),
     "op6_licence_scan": licence_scan.oracle(),
+    "op9_quality_rules": quality_rules.oracle(),
 }

@@ -149,3 +149,15 @@ def repeated_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = repeated_passages(docs, id_col, text_col, least)
     size = F.col("end") - F.col("begin")
     return found.groupBy(id_col).agg(F.count("*").alias("n_passages"), F.sum(size).alias("n_repeated_words"), F.max(size).alias("longest"), F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("passages"))
+
+
+def oracle(least: int = LEAST) -> str:
+    """repeated_documents() of documents in DuckDB SQL, over all windows, with passages as JSON (doc_id unique)."""
+    return rf"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+g as (select doc_id, i, md5(array_to_string(ws[i + 1 : i + {least}], ' ')) s from (select doc_id, ws, unnest(range(len(ws) - {least - 1})) i from w where len(ws) >= {least})),
+r as (select doc_id, i from (select *, count(*) over (partition by s) n from g) where n > 1),
+f as (select *, (i - lag(i) over (partition by doc_id order by i) > {least}) is not false new from r),
+k as (select doc_id, i, sum(new::int) over (partition by doc_id order by i) run from f),
+p as (select doc_id, min(i) b, max(i) + {least} e from k group by doc_id, run)
+select doc_id, count(*) n_passages, sum(e - b)::BIGINT n_repeated_words, max(e - b) longest, '[' || string_agg('{{"begin":' || b || ',"end":' || e || '}}', ',' order by b) || ']' passages from p group by 1"""
