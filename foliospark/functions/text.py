@@ -12,6 +12,11 @@ _NARROW = "".join(chr(i - 0xFEE0) for i in range(0xFF01, 0xFF5F))
 _STRONG = r"(?:(?=https?://|www\.)" + V.URL + ")"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once a row however often body names it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -29,28 +34,32 @@ def full(c: Column, pattern: str, ignore_case: bool = False) -> Column:
 
 
 def fold_wide(c: Column) -> Column:
-    return F.translate(c, _WIDE, _NARROW)
+    """Full-width ASCII as ASCII; lines without any are left alone."""
+    return F.when(c.rlike("[！-～]"), F.translate(c, _WIDE, _NARROW)).otherwise(c)
 
 
 def has_quotes(c: Column) -> Column:
     return c.rlike(f"[{V.QUOTES}]")
 
 
-def _whole_url(text: Column) -> Column:
-    folded = fold_wide(text)
+def _whole_url(folded: Column) -> Column:
     return (F.regexp_extract(folded, f"(?i){V.URL}", 0) == folded) & ~folded.rlike(r"[.,!?:;)]\z")
 
 
 def noise_rule(line: Column) -> Column:
     """The name of the first template that the whole line fills, else null; lines with a quote mark have none."""
-    text = strip(line)
-    rule = F.when((text == "") | has_quotes(text), F.lit(None).cast("string")).when(_whole_url(text), "网址行")
-    for name, pattern, fold in V.LINE_TEMPLATES:
-        rule = rule.when(full(text, pattern, fold), name)
-    short, folded = F.length(dense(text)) <= V.MAX_AD_LENGTH, fold_wide(text)
-    for name, pattern, fold in V.AD_TEMPLATES:
-        rule = rule.when(short & full(folded, pattern, fold), name)
-    return rule
+
+    def rules(text: Column, folded: Column) -> Column:
+        rule = F.when((text == "") | has_quotes(text), F.lit(None).cast("string")).when(_whole_url(folded), "网址行")
+        for name, pattern, fold in V.LINE_TEMPLATES:
+            rule = rule.when(full(text, pattern, fold), name)
+        advert = None
+        for name, pattern, fold in V.AD_TEMPLATES:
+            hit = full(folded, pattern, fold)
+            advert = F.when(hit, name) if advert is None else advert.when(hit, name)
+        return rule.when(F.length(dense(text)) <= V.MAX_AD_LENGTH, advert)
+
+    return let(strip(line), lambda text: let(fold_wide(text), lambda folded: rules(text, folded)))
 
 
 def is_noise_line(line: Column) -> Column:
@@ -65,10 +74,13 @@ def remove_urls(line: Column) -> Column:
     """(line, n): addresses with a scheme or www. taken out and white space collapsed; lines with quotes stay."""
     # trailing marks are no part of an address
     pattern = f"(?i){_STRONG[:-1]}(?<![.,!?:;)]))"
-    n = F.when(has_quotes(line), 0).otherwise(F.regexp_count(fold_wide(line), F.lit(pattern)))
-    folded_same = fold_wide(line) == line
-    cut = strip(F.regexp_replace(F.regexp_replace(F.when(folded_same, line).otherwise(fold_wide(line)), pattern, ""), r"(?U)\s{2,}", " "))
-    return F.struct(F.when(n > 0, cut).otherwise(line).alias("line"), n.alias("n"))
+
+    def cut(text: Column, folded: Column) -> Column:
+        n = F.when(has_quotes(text), 0).otherwise(F.regexp_count(folded, F.lit(pattern)))
+        rest = strip(F.regexp_replace(F.regexp_replace(folded, pattern, ""), r"(?U)\s{2,}", " "))
+        return let(n, lambda k: F.struct(F.when(k > 0, rest).otherwise(text).alias("line"), k.alias("n")))
+
+    return let(line, lambda text: let(fold_wide(text), lambda folded: cut(text, folded)))
 
 
 def is_site_signature(line: Column) -> Column:
@@ -78,7 +90,8 @@ def is_site_signature(line: Column) -> Column:
 
 def _strip_inline(c: Column) -> Column:
     pattern = rf"(?iU)(?:^|(?<=[。！？]))\s*(?:{V.SITE_NOTICE}|{V.PAGE_NOTICE})(?:[。!！]|$)"
-    return F.when(has_quotes(c) | ~c.rlike(pattern), c).otherwise(collapse(F.regexp_replace(c, pattern, "")))
+    some = lambda v: v.contains("记住本站") | v.contains("本章未完")  # noqa: E731  every notice holds one of these
+    return let(c, lambda v: F.when(~some(v) | has_quotes(v) | ~v.rlike(pattern), v).otherwise(collapse(F.regexp_replace(v, pattern, ""))))
 
 
 def _tight(c: Column) -> Column:
@@ -92,22 +105,23 @@ def _ellipsis(c: Column) -> Column:
 
 def normalize_line(c: Column) -> Column:
     """White space folded, none between CJK; ellipses alike; inline notices out; half-width marks after CJK made full."""
-    value = _strip_inline(_ellipsis(_tight(c)))
-    for half, wide in V.FULL_WIDTH:
-        value = F.regexp_replace(value, rf"(?U)(?<=[一-鿿])\s*\{half}\s*(?!\d)", wide)
-    value = F.regexp_replace(value, r"(?U)\(\s*([一-鿿](?:[^()]*[^()\s])?)\s*\)", "（$1）")
-    return collapse(value)
+
+    def widened(value: Column) -> Column:
+        for half, wide in V.FULL_WIDTH:
+            value = F.regexp_replace(value, rf"(?U)(?<=[一-鿿])\s*\{half}\s*(?!\d)", wide)
+        return F.regexp_replace(value, r"(?U)\(\s*([一-鿿](?:[^()]*[^()\s])?)\s*\)", "（$1）")
+
+    # marks are widened beside CJK alone, so other lines skip those passes
+    return collapse(let(_strip_inline(_ellipsis(_tight(c))), lambda v: F.when(v.rlike("[一-鿿]"), widened(v)).otherwise(v)))
 
 
 def inline_notice_only(c: Column) -> Column:
-    before = _ellipsis(_tight(c))
-    return (before != "") & (_strip_inline(before) == "")
+    return let(_ellipsis(_tight(c)), lambda before: (before != "") & (_strip_inline(before) == ""))
 
 
 def ratio(c: Column, pattern: str) -> Column:
     """Share of the characters besides white space that the pattern finds; 0 for none."""
-    text = dense(c)
-    return F.when(F.length(text) == 0, 0.0).otherwise(F.regexp_count(text, F.lit(pattern)) / F.length(text))
+    return let(dense(c), lambda text: F.when(F.length(text) == 0, 0.0).otherwise(F.regexp_count(text, F.lit(pattern)) / F.length(text)))
 
 
 def cjk_ratio(c: Column) -> Column:

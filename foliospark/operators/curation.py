@@ -13,6 +13,13 @@ from foliospark.functions import text as T
 from foliospark.functions.fixed_values import RECOMMEND
 
 
+def reused(df: DataFrame) -> DataFrame:
+    """df computed once for several readers: checkpointed where the session names a shared folder, else persisted."""
+    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return df.checkpoint()
+    return df.persist()
+
+
 def spam_lines(lines: DataFrame, key: str, line: str = "line") -> DataFrame:
     """(key, line, n, total): lines that fill over 60 % of a document of 5 lines or more, at least 3 times."""
     counts = lines.groupBy(key, line).agg(F.count("*").alias("n"))
@@ -33,11 +40,10 @@ def clean_lines(lines: DataFrame, key: str, title: str | None = None) -> DataFra
     """
     raw = F.col("line")
     source = T._tight(raw)
-    cut = T.remove_urls(T.normalize_line(raw))
-    fragments = T.remove_urls(raw)["n"] > 0
-    t = lines.withColumn("rule", T.noise_rule(source))
+    t = lines.withColumns({"rule": T.noise_rule(source), "fragments": T.remove_urls(raw)["n"] > 0, "clean": T.normalize_line(raw)})
+    fragments = F.col("fragments")
     t = t.withColumn("rule", F.when(F.col("rule").isNull() & T.inline_notice_only(raw), "站点提示").otherwise(F.col("rule")))
-    t = t.withColumn("clean", F.when(fragments, cut["line"]).otherwise(T.normalize_line(raw)))
+    t = t.withColumn("clean", F.when(fragments, T.remove_urls(F.col("clean"))["line"]).otherwise(F.col("clean")))
     t = t.withColumn("review", F.when(F.col("rule").isNull() & fragments, "网址片段").when(F.col("rule").isNull() & T.has_url(raw), "网址片段待复核"))
     t = t.withColumn("rule", F.when(F.col("rule").isNull() & (F.col("clean") == ""), "").otherwise(F.col("rule")))
     if title:
@@ -55,7 +61,7 @@ def clean_lines(lines: DataFrame, key: str, title: str | None = None) -> DataFra
     alive = F.col("rule").isNull()
     before = F.last(F.when(alive, F.col("clean")), ignorenulls=True).over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     t = t.withColumn("rule", F.when(alive & (before == F.col("clean")), "相邻重复").otherwise(F.col("rule")))
-    return t.withColumn("clean", F.when(F.col("rule").isNull(), F.col("clean"))).drop("k", "kept", "cut", "n")
+    return t.withColumn("clean", F.when(F.col("rule").isNull(), F.col("clean"))).drop("k", "kept", "cut", "n", "fragments")
 
 
 def removal_log(cleaned: DataFrame, key: str) -> DataFrame:
@@ -96,7 +102,7 @@ def article_code(text, paragraphs, link_density=None, title=None, continuation:
 
 def chapter_report(lines: DataFrame, ratio: float) -> DataFrame:
     """Per book: chapters, kept lines and characters, removed lines, and the histogram of rules, after cleaning and the header pass."""
-    cleaned = clean_lines(lines, "doc_id")
+    cleaned = reused(clean_lines(lines, "doc_id").select("source", "doc_id", "pos", "clean", "rule"))
     kept = cleaned.where("clean is not null").select("source", "doc_id", "pos", F.col("clean").alias("line"))
     repeated = header_footer_lines(kept, "source", "doc_id", ratio)
     final = drop_lines(kept, repeated, "source").groupBy("source").agg(F.count_distinct("doc_id").alias("chapters"), F.count("*").alias("kept_lines"), F.sum(F.length("line")).alias("characters"))
