@@ -103,7 +103,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     place = F.struct("id", "at")
     kinds = suffixes.groupBy("gram", "whole").agg(F.min(place).alias("one"), F.max(place).alias("other"))
     kinds = kinds.select("gram", "whole", "one", (F.col("one") != F.col("other")).alias("full"))
-    full = kinds.where("full").select(F.col("gram").alias("f_gram"), F.col("whole").alias("f_whole"))
+    # stored, so that both sides of the join are dealt for it alone and a hot kind can be split there
+    full = stored(kinds.where("full").select(F.col("gram").alias("f_gram"), F.col("whole").alias("f_whole")), "kinds")
     in_full = suffixes.join(full, (F.col("gram") == F.col("f_gram")) & (F.col("whole") == F.col("f_whole"))).select("id", "at").distinct()
     first = F.shiftright("at", 12)
     stretches = in_full.select("id", first.alias("begin"), (first + F.shiftright("at", 6).bitwiseAND(F.lit(63).cast("long")) + least).alias("end"))
@@ -133,7 +134,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     windows = stored(joined.mapInArrow(extended, f"id {kind}, start long, code long, full boolean"), "windows")
     at = F.struct("id", "start")
-    again = windows.groupBy("code").agg(F.min(at).alias("one"), F.max(at).alias("other")).where("one != other").select(F.col("code").alias("a_code"))
+    again = stored(windows.groupBy("code").agg(F.min(at).alias("one"), F.max(at).alias("other")).where("one != other").select(F.col("code").alias("a_code")), "again")
     matched = windows.where("not full").join(again, F.col("code") == F.col("a_code")).select("id", F.col("start").alias("begin"), (F.col("start") + least).alias("end"))
 
     # merge each document's runs
