@@ -6,7 +6,7 @@ only, and the small set of repeated lines joins back (broadcast when Spark finds
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
@@ -111,10 +111,42 @@ def chapter_report(lines: DataFrame, ratio: float) -> DataFrame:
     return final.join(histogram, "source", "left").select("source", "chapters", "kept_lines", "characters", F.coalesce("removed_lines", F.lit(0)).alias("removed_lines"), F.coalesce("removed_rules", F.lit("{}")).alias("removed_rules"))
 
 
+def chapter_block() -> Column:
+    """A chapter's text of (heading, paragraphs, missing_reason, source_url)."""
+    missing = F.array(F.col("heading"), F.concat(F.lit("［本章抓取失败："), "missing_reason", F.lit("］")), F.concat(F.lit("［地址："), "source_url", F.lit("］")))
+    return F.array_join(F.when(F.col("missing_reason").isNotNull(), missing).otherwise(F.concat(F.array("heading"), F.col("paragraphs"))), "\n\n")
+
+
 def render_txt(book: DataFrame, title: str) -> DataFrame:
     """(book, text) of (book, chapter, heading, paragraphs, missing_reason, source_url): a title, chapters three blank lines apart."""
-    missing = F.array(F.col("heading"), F.concat(F.lit("［本章抓取失败："), "missing_reason", F.lit("］")), F.concat(F.lit("［地址："), "source_url", F.lit("］")))
-    block = F.array_join(F.when(F.col("missing_reason").isNotNull(), missing).otherwise(F.concat(F.array("heading"), F.col("paragraphs"))), "\n\n")
-    blocks = F.transform(F.sort_array(F.collect_list(F.struct("chapter", block.alias("b")))), lambda x: x["b"])
+    blocks = F.transform(F.sort_array(F.collect_list(F.struct("chapter", chapter_block().alias("b")))), lambda x: x["b"])
     name = F.coalesce(F.nullif(T.strip(F.first(title)), F.lit("")), F.lit("未命名"))
     return book.groupBy("book").agg(F.concat(F.array_join(F.concat(F.array(name), blocks), "\n\n\n\n"), F.lit("\n")).alias("text"))
+
+
+def render_txt_parts(book: DataFrame, title: str, size: int) -> DataFrame:
+    """(book, part, text): render_txt's text in parts of `size` chapters, which joined in order give it whole, so that no row holds a book.
+
+    Columns as for render_txt, and last: the number of the book's last chapter. Chapters are numbered from 1.
+    """
+    name = F.coalesce(F.nullif(T.strip(F.col(title)), F.lit("")), F.lit("未命名"))
+    piece = F.concat(F.when(F.col("chapter") == 1, name).otherwise(""), F.coalesce(F.concat(F.lit("\n\n\n\n"), chapter_block()), F.lit("")), F.when(F.col("chapter") == F.col("last"), "\n").otherwise(""))
+    parts = book.select("book", F.floor((F.col("chapter") - 1) / size).cast("long").alias("part"), "chapter", piece.alias("piece"))
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("chapter", "piece"))), lambda x: x["piece"])
+    return parts.groupBy("book", "part").agg(F.array_join(pieces, "").alias("text"))
+
+
+def numbered(docs: DataFrame, book: str, key: str) -> DataFrame:
+    """docs with chapter (place within its book by key, from 1) and last (the book's count); a book is dealt over many tasks.
+
+    Rows are ranged by book and key; within a range they are counted, and the counts of the ranges before are added. All columns
+    are shuffled, so texts are better joined by the key afterwards.
+    """
+    placed = reused(docs.repartitionByRange(book, key).withColumn("slot", F.spark_partition_id()))
+    counts = placed.groupBy(book, "slot").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(book)
+    before = F.coalesce(F.sum("n").over(whole.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col(book).alias("__book"), F.col("slot").alias("__slot"), before.alias("before"), F.sum("n").over(whole).alias("last"))
+    ranked = placed.withColumn("chapter", F.row_number().over(Window.partitionBy(book, "slot").orderBy(key)))
+    joined = ranked.join(counts, ranked[book].eqNullSafe(counts["__book"]) & (ranked["slot"] == counts["__slot"]))
+    return joined.withColumn("chapter", F.col("chapter") + F.col("before")).drop("__book", "__slot", "slot", "before")

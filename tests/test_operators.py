@@ -213,3 +213,15 @@ def test_scripts():
     script = "eval(function(p,a,c,k,e,d){}('0 1=\\'2\\';',10,3,'var|x|y'.split('|'),0,{}))"
     assert P.packed_payload(script) == "var x='y';" and P.packed_payload("none") is None
     assert P.decompress_base64("BYUwNmD2Q===") in ("hello", None) and P.decompress_base64("!") is None and P.decompress_base64("Q===") == ""
+
+
+def test_books_render_whole(spark):
+    """Parts joined give render_txt's text, and hold every chapter: a cap of five would fail here."""
+    docs = spark.createDataFrame([(b, i, f"{b} {i}\nmore") for b, n in (("a", 41), ("b", 3)) for i in range(n)], "book string, doc_id long, text string").repartition(5)
+    book = C.numbered(docs, "book", "doc_id")
+    assert sorted((r.book, r.chapter, r.doc_id, r.last) for r in book.collect()) == [(b, i + 1, i, n) for b, n in (("a", 41), ("b", 3)) for i in range(n)]
+    missing = F.when(F.col("chapter") == 2, F.lit("gone"))
+    book = book.select("book", "chapter", "last", F.concat(F.lit("# "), F.col("chapter")).alias("heading"), F.split("text", "\n").alias("paragraphs"), missing.alias("missing_reason"), F.lit("u").alias("source_url"))
+    whole = {r.book: r.text for r in C.render_txt(book, "book").collect()}
+    parts = {b: "".join(r.text for r in sorted(C.render_txt_parts(book, "book", 4).where(F.col("book") == b).collect(), key=lambda r: r.part)) for b in whole}
+    assert parts == whole and all(f"# {k}\n" in parts["a"] for k in range(1, 42))
