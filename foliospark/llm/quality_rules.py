@@ -2,7 +2,8 @@
 
 Each document is measured in its own row, with array functions only. Hosts' failures are counted with partial
 aggregation; a beta prior is fitted to the hosts' rates by moments; each host's rate is shrunk to it, and a host whose
-rate is surely above max_rate is turned down with all its documents.
+rate is surely above max_rate is turned down with all its documents. The contract's SQL counts failures of words and repeats
+alone; the wide verdict, which the pipeline takes, also counts texts of symbols and of repeated lines.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import SPACE, let, settled, words_of
 
 WINDOW = 5
+#: Wide verdict: symbols in % of word characters, repeated lines in % of lines, above which a text fails. No document labelled good lies above either.
+SYMBOLS, DUP_LINES = 5, 50
 
 
 def repeated_words(words: Column, k: int = WINDOW) -> Column:
@@ -39,16 +42,15 @@ def repeated_words(words: Column, k: int = WINDOW) -> Column:
 
 
 def rule_measures(text: Column) -> Column:
-    """A struct of the base measures of a text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (null text: all 0)."""
+    """A struct of the measures of a text: n_words, word_chars, n_symbols, lines (n, n_dup: lines with words, repeats among them), n_repeat_words (null text: all 0)."""
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(rf"[^{SPACE}]"))
-    n_dup_lines = F.coalesce(let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))), F.lit(0))
     return let(
         words_of(text),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.coalesce(F.regexp_count(text, F.lit("[#*$%&|<>]")), F.lit(0)).cast("long").alias("n_symbols"),
-            n_dup_lines.cast("long").alias("n_dup_lines"),
+            let(F.coalesce(lines, F.array().cast("array<string>")), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup"))).alias("lines"),
             repeated_words(w).alias("n_repeat_words"),
         ),
     )
@@ -58,9 +60,15 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
 
 
-def host_counts(measured: DataFrame) -> DataFrame:
-    """(host, n, f): documents and failed ones of each host among measured (host, base_failed)."""
-    return measured.groupBy("host").agg(F.count("*").alias("n"), F.count_if("base_failed").alias("f"))
+def failed(m: Column | dict[str, Column], wide: bool) -> Column:
+    """Whether a text of rule_measures() m fails: base_failed, and if wide also by its shares of symbols and of repeated lines."""
+    base = base_failed(m["n_words"], m["n_repeat_words"])
+    return base | (100 * m["n_symbols"] > SYMBOLS * m["word_chars"]) | (100 * m["lines"]["n_dup"] > DUP_LINES * m["lines"]["n"]) if wide else base
+
+
+def host_counts(measured: DataFrame, by: str = "base_failed") -> DataFrame:
+    """(host, n, f): documents and failed ones of each host among measured (host, and the boolean column by)."""
+    return measured.groupBy("host").agg(F.count("*").alias("n"), F.count_if(by).alias("f"))
 
 
 def host_verdicts(hosts: DataFrame, max_rate: float, sure: float) -> DataFrame:
@@ -86,36 +94,40 @@ def host_verdicts(hosts: DataFrame, max_rate: float, sure: float) -> DataFrame:
     )
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.8, sure: float = 2.0) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.8, sure: float = 2.0, wide: bool = False) -> DataFrame:
     """One row per row of docs: the id, the base measures, base_failed, kept, and the host's host_docs, host_rate, host_ok.
 
+    kept and the host's rate count failures by base_failed, as the contract's SQL does, and with wide those of failed().
+
     Null text has no words and fails; a null host is a host of its own; repeated rows are measured and counted each; columns
     other than the three named are not read, so names cannot clash; an empty table gives no rows. Measures are taken once
     and checkpointed (a few longs a row); the hosts' table joins back by size: broadcast when Spark finds it small,
     else a sort-merge join whose hot host adaptive execution splits.
     """
+    m = {name: F.col(name) for name in ("n_words", "word_chars", "n_symbols", "lines", "n_repeat_words")}
     measured = settled(
         docs.select(docs[id_col].alias("id"), docs[host_col].alias("host"), rule_measures(docs[text_col].cast("string")).alias("m"))
         .select("id", "host", "m.*")
-        .withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
+        .withColumns({"n_dup_lines": F.col("lines.n_dup"), "base_failed": failed(m, False), "failed": failed(m, wide)})
     )
-    hosts = host_verdicts(host_counts(measured), max_rate, sure).withColumnRenamed("host", "h")
+    hosts = host_verdicts(host_counts(measured, "failed"), max_rate, sure).withColumnRenamed("host", "h")
     joined = measured.join(hosts, measured["host"].eqNullSafe(hosts["h"]), "left")
     return joined.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.col("host_ok")).alias("kept"), "host_docs", "host_rate", "host_ok",
+        (~F.col("failed") & F.col("host_ok")).alias("kept"), "host_docs", "host_rate", "host_ok",
     )
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.8, sure: float = 2.0) -> DataFrame:
-    """The rows of docs, with its columns, that quality_rules() keeps; repeated rows stay repeated.
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.8, sure: float = 2.0, wide: bool = True) -> DataFrame:
+    """The rows of docs, with its columns, that quality_rules() keeps, by the wide verdict unless told otherwise; repeated rows stay repeated.
 
     The host table needs one pass; the verdict on a document's own rules is then taken where its row is, so texts are never shuffled.
     """
-    fine = docs.select(docs[host_col].alias("host"), rule_measures(docs[text_col].cast("string")).alias("m")).select("host", base_failed(F.col("m.n_words"), F.col("m.n_repeat_words")).alias("base_failed"))
-    hosts = host_verdicts(settled(host_counts(fine)), max_rate, sure)
+    verdict = let(rule_measures(docs[text_col].cast("string")), lambda m: failed(m, wide))
+    fine = docs.select(docs[host_col].alias("host"), verdict.alias("failed"))
+    hosts = host_verdicts(settled(host_counts(fine, "failed")), max_rate, sure)
     bad = hosts.where(~F.col("host_ok")).select(F.col("host").alias("bad_host"))
-    kept = docs.withColumn("__m", rule_measures(F.col(text_col).cast("string"))).where(~base_failed(F.col("__m.n_words"), F.col("__m.n_repeat_words"))).drop("__m")
+    kept = docs.where(~verdict)
     return kept.join(bad, kept[host_col].eqNullSafe(bad["bad_host"]), "left_anti").select(*[kept[c] for c in docs.columns])
 
 

@@ -30,6 +30,20 @@ def test_bad_hosts_lose_their_documents(spark):
     assert keep_good(docs).columns == docs.columns and keep_good(docs.limit(0)).count() == 0
 
 
+def test_wide_verdict_takes_symbols_and_lines(spark):
+    words = [f"w{k}" for k in range(40)]
+    clean, symbols = " ".join(words), " ".join(w + "$$$" for w in words)
+    lines = "\n".join(["same"] * 4 + [clean])
+    rows = [(1, clean, "a"), (2, symbols, "a"), (3, lines, "a"), (4, None, "a")] + [(100 + i, clean if i % 40 == 0 else symbols, "junk") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    base, wide = ({r.doc_id: r for r in quality_rules(docs, wide=w).collect()} for w in (False, True))
+    assert not base[2].base_failed and not base[3].base_failed and base[2].kept and base[3].kept and base[101].kept and base[100].host_ok
+    assert not wide[2].base_failed and not wide[2].kept and not wide[3].kept and wide[1].kept
+    assert not wide[100].host_ok and not wide[100].kept  # a clean document of a host of symbols
+    assert {r.doc_id for r in keep_good(docs).collect()} == {1}
+    assert {r.doc_id for r in keep_good(docs, wide=False).collect()} == {i for i, r in base.items() if r.kept}
+
+
 def water_fill(sizes):
     """The contract's resharing, round by round."""
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
