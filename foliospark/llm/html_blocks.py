@@ -5,9 +5,10 @@ from __future__ import annotations
 import html
 import re
 
-#: What a page consists of; elements whose content is no text are one token. Quantifiers are possessive: no backtracking.
+#: What a page consists of; elements whose content is no text are one token, a self-closed svg or math is empty. Quantifiers are possessive: no backtracking.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|title|noscript|iframe|object|svg|math|canvas|audio|video|noframes)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>"
+    r"|<(script|style|template|title|noscript|iframe|object|svg|math|canvas|audio|video|noframes)(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*+>",
     re.S | re.I,
 )

@@ -16,6 +16,14 @@ def test_blocks():
     assert len(B.blocks("<p>" * 20_000 + "x")) == 1 and len(B.blocks("<a \"" * 2000)) == 1
 
 
+def test_custom_and_self_closed_elements_keep_what_follows():
+    for name in ("video-js", "audio-player", "svg-icon", "title-bar", "object-view"):
+        assert [b.text for b in B.blocks(f"<p>One</p><{name} a='>'>in</{name}><p>Two</p>")] == ["One", "in", "Two"], name
+    for empty in ("<svg a='>'/>", "<SVG />", "<math/>", "<svg\n viewBox='0 0 1 1' />"):
+        assert [b.text for b in B.blocks(f"<p>One</p>{empty}<p>Two</p>")] == ["One", "Two"], empty
+    assert [b.text for b in B.blocks("<svg a=b><path/>x</svg><p>Two</p><script/>no</script><math>y</math >")] == ["Two"]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     field = H.Field()
