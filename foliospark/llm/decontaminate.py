@@ -26,6 +26,8 @@ from foliospark.llm.common import slices
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 K1, B = 1.2, 0.75
+#: Words between question and answer for which passages leave room, whatever the item's length.
+BETWEEN = 8
 #: Items of one block, and bytes of item text in one index (more items are searched in further indexes).
 BLOCK, INDEX_BYTES = 4, 16 << 20
 #: Share of the threshold up to which lists of little impact stay unwalked, and cells up to which blocks are looked up directly.
@@ -61,8 +63,9 @@ class ItemIndex:
         self.shingles = [shingle_set(w) for _, _, w in kept]
         split = [question_and_answer(t) for _, t, _ in kept]
         self.questions = [shingle_set(words_of(q)) for q, _ in split]
+        self.long_question = [len(words_of(q)) >= SHINGLE for q, _ in split]  # shorter ones tell nothing alone
         self.answers = [Counter(words_of(a)) for _, a in split]
-        self.length = 2 * max((len(w) for _, _, w in kept), default=1)
+        self.length = 2 * (max((len(w) for _, _, w in kept), default=1) + BETWEEN)
         self.length += self.length % 2
         n = len(kept)
         df = Counter(w for _, _, ws in kept for w in set(ws))
@@ -170,9 +173,9 @@ def contamination(
 ) -> DataFrame:
     """(id, item, score, overlap, question_overlap, answer_overlap, word): the items that a document holds, with its best passage.
 
-    Passages are twice the longest item long and overlap by half, so each item lies whole in one. An item is held if a passage
-    scores threshold, has `overlap` of the item's five-word shingles and `answer_overlap` of its answer's words. Texts are
-    read whole; null and wordless texts and items hold nothing; repeated rows report each; an empty table gives no rows; other
+    Passages are twice the longest item and BETWEEN words long and overlap by half, so each item lies whole in one. An item is held if a passage
+    scores threshold, has `overlap` of the five-word shingles of the item, or of its question if that has
+    five words or more (words may stand between question and answer), and `answer_overlap` of its answer's words. Texts are read whole; null and wordless texts and items hold nothing; repeated rows report each; an empty table gives no rows; other
     columns are not read, so names cannot clash. Narrow: nothing is shuffled.
     """
     spark = docs.sparkSession
@@ -197,7 +200,7 @@ def contamination(
                 for p, item, score in zip(*(x.tolist() for x in index.search(np.concatenate(rows))), strict=True):
                     k, at = int(doc[p]), int(place[p])
                     shares = index.verify(texts[k][at : at + index.length], item)
-                    if shares[0] >= overlap and shares[2] >= answer_overlap:
+                    if (shares[0] >= overlap or index.long_question[item] and shares[1] >= overlap) and shares[2] >= answer_overlap:
                         best[k, item] = max(best.get((k, item), (0.0,)), (*shares[:1], score, *shares[1:], at))
                 if best:
                     ids = batch.column(0).to_pylist()

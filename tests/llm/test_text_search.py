@@ -168,6 +168,22 @@ def test_contamination(spark, edge_docs, no_docs, monkeypatch):
     assert D.decontaminated(edge_docs, bench).columns == edge_docs.columns
 
 
+def test_words_between_question_and_answer(spark):
+    """The seam's shingles are lost: 4 of 12 here, so that the whole item's share is below 0.8."""
+    items = [(k, " ".join(f"q{k}x{i}" for i in range(12)) + "? " + " ".join(f"a{k}x{i}" for i in range(4)) + ".") for k in range(20)]
+    rows = []
+    for k, text in items:
+        question, answer = text.split("? ")
+        for gap in (1, 8):
+            for before in range(0, 48, 5):  # wherever the passages' limits fall
+                rows.append((len(rows), " ".join([*["w"] * before, question, *["Answer:"] * gap, answer, *["w"] * 60]), k))
+    rows += [(10_000 + k, text.split("? ")[0] + " " + "w " * 60, None) for k, text in items]  # no answer
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item long")
+    found = D.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, k) for i, _, k in rows if k is not None} and max(r.overlap for r in found) < 0.8
+
+
+
 # licences ------------------------------------------------------------------------------------------------------------
 
 
