@@ -39,8 +39,9 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def shingle_set(words: list[str]) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
+def shingle_set(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
+    """Runs of `size` words; of fewer words the one run that they are."""
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -146,9 +147,15 @@ class ItemIndex:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else empty
 
     def verify(self, passage: list[str], item: int) -> tuple[float, float, float]:
-        """Shares of the item's shingles, of its question's shingles and of its answer's words that the passage holds."""
+        """Shares of the item's shingles, of its question's shingles and of its answer's words that the passage holds; a part of under five words is one run."""
         have, bag = shingle_set(passage), Counter(passage)
-        share = lambda part: len(part & have) / len(part) if part else 1.0
+
+        def share(part):
+            if not part:
+                return 1.0
+            size = len(next(iter(part)))
+            return len(part & (have if size == SHINGLE else shingle_set(passage, size))) / len(part)
+
         answer = self.answers[item]
         met = sum(min(n, bag[w]) for w, n in answer.items()) / max(1, answer.total())
         return share(self.shingles[item]), share(self.questions[item]), met if answer else 1.0
@@ -175,7 +182,8 @@ def contamination(
 
     Passages are twice the longest item and BETWEEN words long and overlap by half, so each item lies whole in one. An item is held if a passage
     scores threshold, has `overlap` of the five-word shingles of the item, or of its question if that has
-    five words or more (words may stand between question and answer), and `answer_overlap` of its answer's words. Texts are read whole; null and wordless texts and items hold nothing; repeated rows report each; an empty table gives no rows; other
+    five words or more (words may stand between question and answer), and `answer_overlap` of its answer's words. An item of under five words is
+    held where its words stand as one run. Texts are read whole; null and wordless texts and items hold nothing; repeated rows report each; an empty table gives no rows; other
     columns are not read, so names cannot clash. Narrow: nothing is shuffled.
     """
     spark = docs.sparkSession

@@ -183,6 +183,15 @@ def test_words_between_question_and_answer(spark):
     assert {(r.doc_id, r.item_id) for r in found} == {(i, k) for i, _, k in rows if k is not None} and max(r.overlap for r in found) < 0.8
 
 
+def test_items_under_five_words(spark):
+    items = [(1, "zeta"), (2, "Alpha beta."), (3, "one? two three four"), (4, " ".join(f"k{i}" for i in range(20)))]
+    fill = " ".join(f"f{i}" for i in range(90))
+    rows = [(1, f"{fill} Zeta {fill}"), (2, f"{fill} alpha, beta {fill}"), (3, f"{fill} one two three four {fill}"), (4, f"{fill} beta alpha two three four one {fill}"), (5, "alpha beta"), (6, "alpha"), (7, fill)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.contamination(docs, bench).collect()} == {(1, 1), (2, 2), (3, 3), (5, 2)}
+
+
+
 
 # licences ------------------------------------------------------------------------------------------------------------
 
