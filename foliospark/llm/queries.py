@@ -24,7 +24,8 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliospark.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.to_json("copies").alias("copies"))
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

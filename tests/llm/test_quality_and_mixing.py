@@ -1,9 +1,11 @@
+import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm.mixing import mix, mixture, shard_quotas
+from foliospark.llm.mixing import hypergeometric, mix, mixture, permuted_draws, split_node, split_quotas, uniform
 from foliospark.llm.quality_rules import host_counts, host_verdicts, keep_good, quality_rules
 from tests_llm_truth import measures
 
@@ -83,16 +85,88 @@ def test_mixing(spark, n_small):
 
 
 def test_quotas_split_exactly(spark):
-    draws = spark.range(1000).select((F.col("id") % 3).alias("src"), (F.floor(F.col("id") / 3) + 1).cast("long").alias("seq"))
-    rows = shard_quotas(draws, 3, 1).collect()
-    per_shard = Counter()
+    quotas = {1: 334, 2: 333, 3: 333, 700: 24}
+    rows = split_quotas(spark.createDataFrame(list(quotas.items()), "src long, k long"), 3, 1).collect()
+    per_shard, per_source = Counter(), Counter()
     for r in rows:
-        per_shard[r.shard] += r.hi - r.lo
-    assert sorted(per_shard.values()) == [125] * 8
-    for src, n in ((0, 334), (1, 333), (2, 333)):
-        runs = sorted((r.lo, r.hi) for r in rows if r.src == src)
-        assert runs[0][0] == 0 and runs[-1][1] == n and all(a[1] == b[0] for a, b in zip(runs, runs[1:], strict=False))
-        assert len({hi - lo for lo, hi in runs}) > 1  # random, not proportional
+        per_shard[r.shard] += r.k
+        per_source[r.src] += r.k
+    assert per_source == quotas and sorted(per_shard.values()) == [128] * 8
+    assert len({r.k for r in rows if r.src == 1}) > 1  # random, not proportional
+    assert split_quotas(spark.createDataFrame([], "src long, k long"), 3, 1).count() == 0
+
+
+def test_hypergeometric_law(spark):
+    """Counts against the exact law by chi-square, at a significance of about 1e-6, and at the ends of its range."""
+    for n, k, m in ((30, 12, 15), (9, 9, 4), (9, 0, 4), (1000, 3, 500), (5, 4, 4), (0, 0, 0)):
+        draws = spark.range(6000).select(hypergeometric(F.lit(n), F.lit(k), F.lit(m), uniform(F.lit(3), F.col("id"))).alias("x"))
+        got = Counter(r.x for r in draws.collect())
+        law = {x: math.comb(k, x) * math.comb(n - k, m - x) / math.comb(n, m) for x in range(max(0, m - n + k), min(k, m) + 1)}
+        assert set(got) <= set(law)
+        cells = [x for x in law if 6000 * law[x] >= 5]
+        chi = sum((got[x] - 6000 * law[x]) ** 2 / (6000 * law[x]) for x in cells)
+        assert chi < len(cells) + 7 * (2 * len(cells)) ** 0.5 + 20, (n, k, m, chi)
+    big = spark.range(1).select(hypergeometric(F.lit(2 * 10**7), F.lit(10**7), F.lit(10**7), F.lit(0.5)).alias("x")).first().x
+    assert abs(big - 5 * 10**6) < 10
+
+
+def test_nodes_follow_the_multivariate_law(spark):
+    """Over many draws, means and covariances of a node's left counts are those of half of its units drawn at once."""
+    quotas = [40, 24, 16]
+    members = F.array(*[F.struct(F.lit(j).cast("long").alias("key"), F.lit(k).cast("long").alias("k"), uniform(F.lit(j), F.col("id")).alias("u")) for j, k in enumerate(quotas)])
+    rows = spark.range(4000).select(split_node(members, F.lit(40)).alias("s")).collect()
+    seen, share = np.array([[e.left for e in r.s] for r in rows], float), np.array(quotas) / 80
+    law = 40 * (80 - 40) / (80 - 1) * (np.diag(share) - np.outer(share, share))
+    assert (seen.sum(axis=1) == 40).all() and np.abs(seen.mean(axis=0) - 40 * share).max() < 5 * (law.max() / 4000) ** 0.5
+    assert np.abs(np.cov(seen.T) - law).max() < 0.12 * law.max()
+
+
+def test_tree_decides_the_placement(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 5 + 1), f"s{i % 3}") for i in range(900)], "doc_id long, text string, source string")
+    placed = {levels: {r.doc_id: tuple(r.copies) for r in mix(docs, block_docs=16, levels=levels).collect()} for levels in (0, 2, 3)}
+    assert {c.shard for cs in placed[0].values() for c in cs} == {0}
+    assert {c.shard for cs in placed[2].values() for c in cs} == set(range(4)) and {c.shard for cs in placed[3].values() for c in cs} == set(range(8))
+    assert all(Counter(c.epoch for c in placed[0][i]) == Counter(c.epoch for c in placed[3][i]) for i in placed[0])
+    # blocks are disjoint runs: a draw of a block lies in one shard whole
+    laid = mixture(docs, block_docs=16, levels=2).withColumn("p", F.spark_partition_id()).collect()
+    shard = {(i, c.order): c.shard for i, cs in placed[2].items() for c in cs}
+    assert Counter(r.doc_id for r in laid) == Counter({i: len(cs) for i, cs in placed[2].items() if cs})
+    want = {s: [i for (i, o), x in sorted(shard.items(), key=lambda e: e[0][1]) if x == s] for s in range(4)}
+    runs = {}
+    for r in laid:
+        runs.setdefault(r.p, []).append(r.doc_id)
+    flat = [i for p in sorted(runs) for i in runs[p]]
+    assert all("".join(f"<{i}>" for i in want[s]) in "".join(f"<{i}>" for i in flat) for s in range(4))
+
+
+def test_draws_are_a_prefix_of_every_sources_permutation(spark):
+    blocks = [(1, b, 10 + b % 7, 40, 40 * 13, 700.0) for b in range(40)] + [(2, 0, 5, 1, 5, 15.0), (3, 0, 0, 1, 0, 0.0)]
+    frame = spark.createDataFrame(blocks, "src long, block long, words long, n_blocks long, source_size long, target double")
+    whole, sliced = (sorted(map(tuple, permuted_draws(frame, 9).collect())) for _ in range(2))
+    assert whole == sliced
+    words = {(s, b): w for s, b, w, *_ in blocks}
+    for src, target in ((1, 700.0), (2, 15.0)):
+        rows = sorted((r for r in whole if r[0] == src), key=lambda r: r[3])
+        assert [r[3] for r in rows] == list(range(1, len(rows) + 1)) and [r[2] for r in rows] == sorted(r[2] for r in rows)
+        left = target
+        for _, block, _, _, rest, full in rows:
+            assert abs(rest - left) < 1e-6 and full == (words[src, block] <= left)
+            left -= words[src, block]
+        assert left <= 0
+        for epoch in {r[2] for r in rows}:
+            drawn = [r[1] for r in rows if r[2] == epoch]
+            assert len(set(drawn)) == len(drawn)
+
+
+def test_null_and_repeated_ids_are_mixed(spark):
+    rows = [(None, "a b " * (i % 9 + 1), "s") for i in range(400)] + [(7, "x " * (i % 4 + 1), "s") for i in range(100)] + [(i, "w w w", None) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mix(docs, block_docs=32).collect()
+    assert len(out) == len(rows)
+    for source in ("s", None):
+        mine = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.02 * mine[0].target
+    assert mixture(docs, block_docs=32).count() == sum(len(r.copies) for r in out)
 
 
 def test_mixing_edges(edge_docs, no_docs):
