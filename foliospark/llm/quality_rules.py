@@ -1,9 +1,11 @@
 """Operator 9, quality rules with a host-level verdict.
 
-Each document is measured in its own row, with array functions only. Hosts' failures are counted with partial
-aggregation; a beta prior is fitted to the hosts' rates by moments; each host's rate is shrunk to it, and a host whose
-rate is surely above max_rate is turned down with all its documents. The contract's SQL counts failures of words and repeats
-alone; the wide verdict, which the pipeline takes, also counts texts of symbols and of repeated lines.
+Each document is measured in its own row, with array functions only, and tried by four rules: too few words, repeated words,
+symbols, repeated lines. Failures are counted per host and rule with partial aggregation; for every rule a beta prior is
+fitted to the hosts' rates by moments, and each host's rate is shrunk to it. The verdicts go back to the documents: a host
+that surely fails one rule on over max_rate of its documents is turned down with all of them; where a host's shrunk rate of a
+rule lies above `habit`, its documents that fail the rule go, and where it lies below, a lone failure of symbols or lines is
+forgiven. Few words and repeated words (base_failed) are never forgiven.
 """
 
 from __future__ import annotations
@@ -11,11 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import SPACE, let, settled, words_of
+from foliospark.llm.common import SPACE, let, stored, words_of
 
 WINDOW = 5
-#: Wide verdict: symbols in % of word characters, repeated lines in % of lines, above which a text fails. No document labelled good lies above either.
+#: Symbols in % of word characters, repeated lines in % of lines, above which a text fails. No document labelled good lies above either.
 SYMBOLS, DUP_LINES = 5, 50
+RULES = ("words", "repeats", "symbols", "lines")
+#: A host's documents failing one rule beyond which the host goes; the share beyond which failing it is the host's habit.
+MAX_RATE, HABIT, SURE = 0.5, 0.02, 2.0
 
 
 def repeated_words(words: Column, k: int = WINDOW) -> Column:
@@ -56,82 +61,91 @@ def rule_measures(text: Column) -> Column:
     )
 
 
-def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
-    return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
-
-
-def failed(m: Column | dict[str, Column], wide: bool) -> Column:
-    """Whether a text of rule_measures() m fails: base_failed, and if wide also by its shares of symbols and of repeated lines."""
-    base = base_failed(m["n_words"], m["n_repeat_words"])
-    return base | (100 * m["n_symbols"] > SYMBOLS * m["word_chars"]) | (100 * m["lines"]["n_dup"] > DUP_LINES * m["lines"]["n"]) if wide else base
+def failures(m: Column) -> Column:
+    """A struct of one boolean per rule, from rule_measures() m."""
+    return F.struct(
+        (m["n_words"] < 10).alias("words"), (100 * m["n_repeat_words"] > 20 * m["n_words"]).alias("repeats"),
+        (100 * m["n_symbols"] > SYMBOLS * m["word_chars"]).alias("symbols"), (100 * m["lines"]["n_dup"] > DUP_LINES * m["lines"]["n"]).alias("lines"),
+    )
 
 
-def host_counts(measured: DataFrame, by: str = "base_failed") -> DataFrame:
-    """(host, n, f): documents and failed ones of each host among measured (host, and the boolean column by)."""
-    return measured.groupBy("host").agg(F.count("*").alias("n"), F.count_if(by).alias("f"))
+def host_counts(tried: DataFrame) -> DataFrame:
+    """(host, n, f_ of each rule): documents and failed ones of each host among tried (host, failures)."""
+    return tried.groupBy("host").agg(F.count("*").alias("n"), *[F.count_if(f"failures.{r}").alias(f"f_{r}") for r in RULES])
 
 
-def host_verdicts(hosts: DataFrame, max_rate: float, sure: float) -> DataFrame:
-    """(host, host_docs, host_rate, host_ok): rate is the shrunk share of failed documents, of host_counts().
+def beta_prior(k: float, n: float, f: float, q: float, nn: float) -> tuple[float, float]:
+    """(a, b) of the prior of k hosts' rates by moments, from sums over hosts: n documents, f failed, q of f * f / n, nn of n * n.
 
-    The prior's strength comes from the spread of the hosts' rates beyond what chance gives; host_ok is false where the rate
-    lies more than `sure` posterior deviations above max_rate. The prior is one row of sums over hosts.
+    Its strength comes from the spread of the rates beyond what chance gives, and never outweighs 50 documents.
     """
-    s = hosts.agg(
-        F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("f").alias("f"), F.sum(F.col("f") / F.col("n") * F.col("f")).alias("q"), F.sum(F.lit(1.0) * F.col("n") * F.col("n")).alias("nn")
-    ).first()
-    n, f = float(s["n"] or 0), float(s["f"] or 0)
     mean = min(max((f + 0.5) / (n + 1.0), 1e-6), 1 - 1e-6)
-    # weighted variance of rates between hosts, less the binomial part
-    between = ((s["q"] or 0.0) - n * mean * mean - max(s["k"] - 1, 0) * mean * (1 - mean)) / max(n - (s["nn"] or 0.0) / max(n, 1.0), 1.0)
-    strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1e6) if between > 0 else 1e6
-    strength = min(strength, 50.0)  # a prior never outweighs 50 documents
-    a, b = mean * strength, (1 - mean) * strength
-    rate = (F.col("f") + a) / (F.col("n") + a + b)
-    return (
-        hosts.select("host", F.col("n").alias("host_docs"), rate.alias("host_rate"))
-        .withColumn("host_ok", F.col("host_rate") - sure * F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("host_docs") + a + b + 1)) <= max_rate)
-    )
+    between = (q - n * mean * mean - max(k - 1, 0) * mean * (1 - mean)) / max(n - nn / max(n, 1.0), 1.0)
+    strength = min(max(mean * (1 - mean) / between - 1, 1.0), 50.0) if between > 0 else 50.0
+    return mean * strength, (1 - mean) * strength
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.8, sure: float = 2.0, wide: bool = False) -> DataFrame:
-    """One row per row of docs: the id, the base measures, base_failed, kept, and the host's host_docs, host_rate, host_ok.
+def host_verdicts(hosts: DataFrame, max_rate: float = MAX_RATE, habit: float = HABIT, sure: float = SURE) -> DataFrame:
+    """(host, host_docs, rate_ and habit_ of each rule, host_ok) of host_counts().
+
+    rate_ is the share of documents failing the rule, shrunk to the rule's prior; habit_ says whether it lies above habit; host_ok is
+    false where one rule's rate lies more than `sure` posterior deviations above max_rate. The priors take one row of sums over hosts.
+    """
+    sums = [F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.lit(1.0) * F.col("n") * F.col("n")).alias("nn")]
+    sums += [x for r in RULES for x in (F.sum(f"f_{r}").alias(f"f_{r}"), F.sum(F.col(f"f_{r}") / F.col("n") * F.col(f"f_{r}")).alias(f"q_{r}"))]
+    s = hosts.agg(*sums).first()
+    rates, ok = [], F.lit(True)
+    for r in RULES:
+        a, b = beta_prior(s["k"], *(float(s[c] or 0) for c in ("n", f"f_{r}", f"q_{r}", "nn")))
+        rate = (F.col(f"f_{r}") + a) / (F.col("n") + a + b)
+        rates += [rate.alias(f"rate_{r}"), (rate > habit).alias(f"habit_{r}")]
+        ok = ok & (rate - sure * F.sqrt(rate * (1 - rate) / (F.col("n") + a + b + 1)) <= max_rate)
+    return hosts.select("host", F.col("n").alias("host_docs"), *rates, ok.alias("host_ok"))
+
+
+def _judged(tried: DataFrame, max_rate: float, habit: float, sure: float) -> DataFrame:
+    """tried (host, failures, ...) with its host's verdicts and kept.
+
+    The hosts' table is written first, so Spark knows its size: small it is broadcast, else a sort-merge join whose hot host
+    adaptive execution splits, both sides being dealt for this join alone.
+    """
+    hosts = stored(host_verdicts(stored(host_counts(tried), "host-counts"), max_rate, habit, sure).withColumnRenamed("host", "h"), "hosts")
+    met = tried.join(hosts, tried["host"].eqNullSafe(hosts["h"]), "left")
+    base = F.col("failures.words") | F.col("failures.repeats")
+    soft = (F.col("failures.symbols") & F.col("habit_symbols")) | (F.col("failures.lines") & F.col("habit_lines"))
+    return met.withColumns({"base_failed": base, "kept": ~base & ~soft & F.col("host_ok")})
+
 
-    kept and the host's rate count failures by base_failed, as the contract's SQL does, and with wide those of failed().
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_RATE, habit: float = HABIT, sure: float = SURE) -> DataFrame:
+    """One row per row of docs: the id, the base measures, base_failed, kept, failures, and of the host host_docs, its rates, host_ok.
 
     Null text has no words and fails; a null host is a host of its own; repeated rows are measured and counted each; columns
     other than the three named are not read, so names cannot clash; an empty table gives no rows. Measures are taken once
-    and checkpointed (a few longs a row); the hosts' table joins back by size: broadcast when Spark finds it small,
-    else a sort-merge join whose hot host adaptive execution splits.
+    and stored (a few longs a row).
     """
-    m = {name: F.col(name) for name in ("n_words", "word_chars", "n_symbols", "lines", "n_repeat_words")}
-    measured = settled(
-        docs.select(docs[id_col].alias("id"), docs[host_col].alias("host"), rule_measures(docs[text_col].cast("string")).alias("m"))
-        .select("id", "host", "m.*")
-        .withColumns({"n_dup_lines": F.col("lines.n_dup"), "base_failed": failed(m, False), "failed": failed(m, wide)})
+    tried = stored(
+        docs.select(docs[id_col].alias("id"), docs[host_col].alias("host"), rule_measures(docs[text_col].cast("string")).alias("m")).select("id", "host", "m.*", failures(F.col("m")).alias("failures")),
+        "measures",
     )
-    hosts = host_verdicts(host_counts(measured, "failed"), max_rate, sure).withColumnRenamed("host", "h")
-    joined = measured.join(hosts, measured["host"].eqNullSafe(hosts["h"]), "left")
-    return joined.select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("failed") & F.col("host_ok")).alias("kept"), "host_docs", "host_rate", "host_ok",
+    judged = _judged(tried, max_rate, habit, sure)
+    return judged.select(
+        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", F.col("lines.n_dup").alias("n_dup_lines"), "n_repeat_words", "base_failed", "kept",
+        "failures", "host_docs", *[f"rate_{r}" for r in RULES], "host_ok",
     )
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.8, sure: float = 2.0, wide: bool = True) -> DataFrame:
-    """The rows of docs, with its columns, that quality_rules() keeps, by the wide verdict unless told otherwise; repeated rows stay repeated.
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_RATE, habit: float = HABIT, sure: float = SURE) -> DataFrame:
+    """The rows of docs, with its columns, that quality_rules() keeps; repeated rows stay repeated. Columns may have any names.
 
-    The host table needs one pass; the verdict on a document's own rules is then taken where its row is, so texts are never shuffled.
+    One pass measures: rows are written with their failures, hosts are counted from that column alone, and the rows are read again
+    beside the hosts' verdicts. Texts are not shuffled unless the hosts' table is too large to broadcast.
     """
-    verdict = let(rule_measures(docs[text_col].cast("string")), lambda m: failed(m, wide))
-    fine = docs.select(docs[host_col].alias("host"), verdict.alias("failed"))
-    hosts = host_verdicts(settled(host_counts(fine, "failed")), max_rate, sure)
-    bad = hosts.where(~F.col("host_ok")).select(F.col("host").alias("bad_host"))
-    kept = docs.where(~verdict)
-    return kept.join(bad, kept[host_col].eqNullSafe(bad["bad_host"]), "left_anti").select(*[kept[c] for c in docs.columns])
+    row = F.struct(*[docs[c] for c in docs.columns])
+    tried = stored(docs.select(row.alias("row"), docs[host_col].alias("host"), failures(rule_measures(docs[text_col].cast("string"))).alias("failures")), "tried")
+    return _judged(tried, max_rate, habit, sure).where("kept").select("row.*")
 
 
-def oracle(max_rate: float = 0.8, sure: float = 2.0) -> str:
+def oracle(max_rate: float = MAX_RATE, habit: float = HABIT, sure: float = SURE) -> str:
     """quality_rules() of documents in DuckDB SQL, over exploded windows (doc_id unique)."""
     return rf"""
 with w as (select doc_id, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
@@ -140,11 +154,15 @@ r as (select doc_id, i, count(*) over (partition by doc_id, s) n from g),
 c as (select doc_id, count(distinct i + k) n from (select doc_id, i, unnest(range({WINDOW})) k from r where n > 1) group by 1),
 m as (select doc_id, source, len(ws)::BIGINT n_words, length(array_to_string(ws, ''))::BIGINT word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT n_symbols,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls, coalesce(c.n, 0)::BIGINT n_repeat_words from w left join c using (doc_id)),
-b as (select *, (len(ls) - len(list_distinct(ls)))::BIGINT n_dup_lines, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from m),
-h as (select source, count(*) n, count(*) filter (base_failed) f from b group by 1),
-s as (select *, least(greatest((f + 0.5) / (n + 1), 1e-6), 1 - 1e-6) mean from (select count(*) k, sum(n) n, sum(f) f, sum(f::DOUBLE / n * f) q, sum(n::DOUBLE * n) nn from h)),
+b as (select *, (len(ls) - len(list_distinct(ls)))::BIGINT n_dup_lines from m),
+f as (select doc_id, source, unnest([{", ".join(f"'{r}'" for r in RULES)}]) rule,
+  unnest([n_words < 10, 100 * n_repeat_words > 20 * n_words, 100 * n_symbols > {SYMBOLS} * word_chars, 100 * n_dup_lines > {DUP_LINES} * len(ls)]) failed from b),
+h as (select source, rule, count(*) n, count(*) filter (failed) f from f group by 1, 2),
+s as (select *, least(greatest((f + 0.5) / (n + 1), 1e-6), 1 - 1e-6) mean from (select rule, count(*) k, sum(n) n, sum(f) f, sum(f::DOUBLE / n * f) q, sum(n::DOUBLE * n) nn from h group by 1)),
 v as (select *, (q - n * mean * mean - (k - 1) * mean * (1 - mean)) / greatest(n - nn / n, 1) between_hosts from s),
-p as (select mean, least(50, case when between_hosts > 0 then least(greatest(mean * (1 - mean) / between_hosts - 1, 1), 1e6) else 1e6 end) strength from v),
-o as (select source, n, strength, (f + mean * strength) / (n + strength) rate from h, p)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rate - {sure} * sqrt(rate * (1 - rate) / (n + strength + 1)) <= {max_rate} kept
-from b join o on o.source is not distinct from b.source"""
+p as (select rule, mean, case when between_hosts > 0 then least(greatest(mean * (1 - mean) / between_hosts - 1, 1), 50) else 50 end strength from v),
+o as (select source, rule, n, strength, (f + mean * strength) / (n + strength) rate from h join p using (rule)),
+y as (select source, bool_and(rate - {sure} * sqrt(rate * (1 - rate) / (n + strength + 1)) <= {max_rate}) ok from o group by 1),
+z as (select doc_id, bool_or(failed and (f.rule in ('words', 'repeats') or rate > {habit})) failed from f join o on o.source is not distinct from f.source and o.rule = f.rule group by 1)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed, not z.failed and y.ok kept
+from b join z using (doc_id) join y on y.source is not distinct from b.source"""

@@ -16,11 +16,12 @@ def test_rules_against_brute_force(edge_docs, edge_rows, no_docs):
 
 
 def test_host_verdicts_shrink(spark):
-    rows = [("good", i % 10 == 0) for i in range(3000)] + [("bad", i % 50 != 0) for i in range(500)] + [("tiny", True)] + [(None, False)] * 20
-    measured = spark.createDataFrame(rows, "host string, base_failed boolean")
-    v = {r.host: r for r in host_verdicts(host_counts(measured), 0.8, 2.0).collect()}
+    rows = [("good", i % 10 == 0, False) for i in range(3000)] + [("bad", i % 50 != 0, False) for i in range(500)] + [("tiny", True, True)] + [(None, False, i < 2) for i in range(40)]
+    tried = spark.createDataFrame(rows, "host string, w boolean, s boolean").select("host", F.struct(F.col("w").alias("words"), F.lit(False).alias("repeats"), F.col("s").alias("symbols"), F.lit(False).alias("lines")).alias("failures"))
+    v = {r.host: r for r in host_verdicts(host_counts(tried)).collect()}
     assert v["good"].host_ok and not v["bad"].host_ok and v["tiny"].host_ok and v[None].host_ok
-    assert v["tiny"].host_rate < 1
+    assert v["tiny"].rate_words < 0.9 and v["tiny"].rate_symbols < 0.9
+    assert v["good"].habit_words and not v["good"].habit_symbols and not v["good"].habit_lines and v[None].habit_symbols
 
 
 def test_bad_hosts_lose_their_documents(spark):
@@ -32,18 +33,20 @@ def test_bad_hosts_lose_their_documents(spark):
     assert keep_good(docs).columns == docs.columns and keep_good(docs.limit(0)).count() == 0
 
 
-def test_wide_verdict_takes_symbols_and_lines(spark):
+def test_habits_decide_on_symbols_and_lines(spark, edge_docs):
+    """A failure that is a host's habit counts, a lone one is forgiven, and a host of symbols goes with its clean documents."""
     words = [f"w{k}" for k in range(40)]
     clean, symbols = " ".join(words), " ".join(w + "$$$" for w in words)
     lines = "\n".join(["same"] * 4 + [clean])
-    rows = [(1, clean, "a"), (2, symbols, "a"), (3, lines, "a"), (4, None, "a")] + [(100 + i, clean if i % 40 == 0 else symbols, "junk") for i in range(400)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    base, wide = ({r.doc_id: r for r in quality_rules(docs, wide=w).collect()} for w in (False, True))
-    assert not base[2].base_failed and not base[3].base_failed and base[2].kept and base[3].kept and base[101].kept and base[100].host_ok
-    assert not wide[2].base_failed and not wide[2].kept and not wide[3].kept and wide[1].kept
-    assert not wide[100].host_ok and not wide[100].kept  # a clean document of a host of symbols
-    assert {r.doc_id for r in keep_good(docs).collect()} == {1}
-    assert {r.doc_id for r in keep_good(docs, wide=False).collect()} == {i for i, r in base.items() if r.kept}
+    rows = [(i, symbols if i % 10 == 0 else lines if i == 1 else clean, "habit") for i in range(500)] + [(1000 + i, symbols if i == 0 else clean, "lone") for i in range(500)]
+    rows += [(2000 + i, clean if i % 40 == 0 else symbols, "junk") for i in range(400)] + [(3000, None, "lone"), (3001, clean, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as row", "2 as host", "3 as failures", "4 as kept")
+    out = {r.doc_id: r for r in quality_rules(docs).collect()}
+    assert not out[0].kept and out[1].kept and out[2].kept and out[1000].kept and out[1000].failures.symbols and not out[0].base_failed
+    assert not out[2000].host_ok and not out[2000].kept and not out[3000].kept and out[3001].kept
+    good = keep_good(docs)
+    assert good.columns == docs.columns and {r.doc_id for r in good.collect()} == {i for i, r in out.items() if r.kept}
+    assert keep_good(edge_docs).columns == edge_docs.columns
 
 
 def water_fill(sizes):
