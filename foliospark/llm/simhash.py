@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import components, settled, slices
+from foliospark.llm.common import components, delete_stored, slices, stored
 
 SHINGLE = 4
 SEED = 42
@@ -52,15 +52,16 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def fingerprint_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp) of every row of docs."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, *keep: Column) -> DataFrame:
+    """(id, the columns in keep, fp) of every row of docs."""
+    base = docs.select(docs[text_col].cast("string").alias("__text"), docs[id_col].alias("id"), *keep)
 
     def run(batches):
         for batch in slices(batches, 256):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(batch.column(1).to_pylist()))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fingerprints(batch.column(0).to_pylist()))], names=[*batch.schema.names[1:], "fp"])
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields[1:])
+    return base.mapInArrow(run, f"{fields}, fp long")
 
 
 def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -235,6 +236,21 @@ def links(distinct: DataFrame, most_bits: int = 4, parts: int | None = None) ->
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def grouped(fps: DataFrame, most_bits: int) -> DataFrame:
+    """fps (id, fp, ...) with component, a fingerprint of its group, and component_id, the smallest id of that.
+
+    The tables that are joined back were written before, so that both sides are dealt for their join alone: small they are
+    broadcast by size, and of larger ones adaptive execution splits a large component.
+    """
+    nodes = stored(fps.groupBy(F.col("fp").alias("n_fp")).agg(F.min("id").alias("least_id")), "nodes")
+    found = components(links(nodes.select(F.col("n_fp").alias("fp")), most_bits)).select("node", "component")
+    named = stored(nodes.join(found, F.col("n_fp") == F.col("node"), "left").select("n_fp", "least_id", F.coalesce("component", "n_fp").alias("component")), "named")
+    least = stored(named.groupBy(F.col("component").alias("c")).agg(F.min("least_id").alias("component_id")), "least")
+    label = stored(named.join(least, F.col("component") == F.col("c")).select("n_fp", "component", "component_id"), "label")
+    delete_stored(fps.sparkSession, nodes, named, least)
+    return fps.join(label, F.col("fp") == F.col("n_fp")).drop("n_fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 4) -> DataFrame:
     """One row per row of docs: the id, fingerprint (16 hexadecimal digits) and component_id, the smallest id reachable.
 
@@ -242,19 +258,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated; an empty table gives no rows; columns other than the two named are not read, so names cannot clash. Null ids
     are never the smallest.
     """
-    fps = settled(fingerprint_table(docs, id_col, text_col))
-    nodes = settled(fps.groupBy("fp").agg(F.min("id").alias("least_id")))
-    edges = links(nodes, most_bits)
-    found = components(edges).select(F.col("node").alias("fp"), "component")
-    named = nodes.join(found, "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    label = named.join(least, "component").select(F.col("fp").alias("l_fp"), "component_id")
-    return fps.join(label, F.col("fp") == F.col("l_fp")).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = grouped(stored(fingerprint_table(docs, id_col, text_col), "fingerprints"), most_bits)
+    return found.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 4) -> DataFrame:
-    """The rows of docs, with its columns, whose id is their group's smallest; of rows that repeat that id, one."""
-    groups = near_duplicates(docs, id_col, text_col, most_bits)
-    keep = groups.select(F.col("component_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """One row of docs, with its columns, of each group: that of the smallest id; of rows that repeat it, one of the least hash.
+
+    Of a group of null ids alone one row stays too. Kept rows are found by id and hash without their texts; texts move only if the
+    table of kept ids is too large to broadcast, and where a row stands more than once. Columns of docs may have any names.
+    """
+    whole = F.xxhash64(*[docs[c] for c in docs.columns])
+    found = grouped(stored(fingerprint_table(docs, id_col, text_col, whole.alias("h")), "fingerprints"), most_bits)
+    alike = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component", "id", "h").agg(F.count("*").alias("n"))
+    first = alike.groupBy("component", "id").agg(F.min(F.struct("h", "n")).alias("k"))
+    first = stored(first.select(F.col("id").alias("k_id"), F.col("k.h").alias("k_h"), F.col("k.n").alias("k_n")), "kept")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), whole.alias("h"))
+    met = rows.join(first, rows["id"].eqNullSafe(first["k_id"]) & (rows["h"] == first["k_h"]))
+    return met.where("k_n = 1").select("row").union(met.where("k_n > 1").dropDuplicates(["id", "h"]).select("row")).select("row.*")

@@ -77,6 +77,17 @@ def test_near_duplicates_and_edges(edge_docs, edge_rows, no_docs):
     assert kept.columns == edge_docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_one_of_each_of_repeated_and_null_ids(spark):
+    """A repeated id may stand for several groups; a row that stands twice is kept once; null ids group among themselves."""
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(1, words(0)), (2, words(0)), (1, words(1)), (3, words(2)), (3, words(2)), (None, words(3)), (None, words(3)), (None, words(0)), (9, words(4)), (4, words(4)), (9, words(5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as h", "2 as row", "3 as component", "4 as n")
+    kept = S.one_of_each(docs)
+    assert kept.columns == docs.columns
+    want = Counter([(1, words(0)), (1, words(1)), (3, words(2)), (None, words(3)), (4, words(4)), (9, words(5))])
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
+
+
 # repeated passages ---------------------------------------------------------------------------------------------------
 
 
