@@ -121,15 +121,40 @@ def test_repeats_against_brute_force(spark, seed):
     texts[500] = texts[3]
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     least = 20
-    assert {tuple(r) for r in R.repeated_passages(docs, least=least).collect()} == passages(texts, least)
+    assert {(r.doc_id, r.begin, r.end) for r in R.repeated_passages(docs, least=least).collect()} == passages(texts, least)
 
 
 def test_repeats_edges(edge_docs, edge_rows, no_docs):
     texts = {i: t for i, t, *_ in edge_rows}
-    assert {tuple(r) for r in R.repeated_passages(edge_docs).collect()} == passages(texts, 50)
+    assert {(r.doc_id, r.begin, r.end) for r in R.repeated_passages(edge_docs).collect()} == passages(texts, 50)
     assert R.repeated_documents(no_docs).count() == 0
 
 
+def test_repeats_of_null_and_repeated_ids(spark):
+    """Rows are told apart by id and text: a null id, and an id that stands with two texts, hide no repeat and invent none."""
+    w = lambda k, n: [f"p{k}x{j}" for j in range(n)]
+    long, second, third = w(0, 80), w(1, 65), w(2, 60)
+    rows = [(1, long), (None, [*w(10, 20), *long, *w(11, 9)]), (None, [*w(12, 5), *second]), (2, [*second, *w(13, 30)]), (3, [*third, *w(14, 3)]), (3, [*w(15, 7), *third]), (4, w(16, 90)), (4, w(16, 90)), (5, w(17, 70)), (5, [*w(17, 70), "end"])]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string").repartition(3)
+    found = sorted((r.doc_id or 0, r.begin, r.end) for r in R.repeated_passages(docs).collect())
+    assert found == sorted([(1, 0, 80), (0, 20, 100), (0, 5, 70), (2, 0, 65), (3, 0, 60), (3, 7, 67), (5, 0, 70), (5, 0, 70)])
+    assert R.repeated_documents(docs).count() == 8
+
+
+def test_neighbours_beyond_partitions(spark, monkeypatch):
+    """Every pair of neighbours is compared, wherever the range partition cuts: one suffix a partition, and many equal ones."""
+    texts = {k: " ".join([*(f"a{j}" for j in range(30)), *(f"b{k % 4}x{j}" for j in range(30)), *(f"c{k}x{j}" for j in range(20))]) for k in range(24)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for parts in ("1", "7", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            assert {(r.doc_id, r.begin, r.end) for r in R.repeated_passages(docs, least=20).collect()} == passages(texts, 20), parts
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 # decontamination -----------------------------------------------------------------------------------------------------
 
 
