@@ -21,29 +21,48 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element that ends where one of these begins.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
-#: Words of class, id and role by what they tell.
+#: Words of class, id and role by what they tell, where all of a name is known; SURE ones tell it beside any other word.
 HINTS = {
     "ad": "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promoted promotion banner outbrain taboola dfp",
     "nav": "nav navs navbar navigation menu menus menubar breadcrumb breadcrumbs pagination pager toc tabs sitemap skip",
-    "head": "header head masthead topbar logo branding top site",
-    "foot": "footer foot colophon copyright legal bottom imprint contentinfo",
-    "side": "sidebar side aside widget widgets rail related recommended recommendations trending popular more teaser teasers complementary",
-    "notice": "notice notices cookie cookies consent gdpr alert alerts popup modal newsletter subscribe subscription paywall disclaimer warning message toast overlay announcement info",
-    "comment": "comment comments commentlist reply replies respond discussion disqus responses feedback review reviews reader readers forum",
-    "form": "form forms search login signin signup register contact input poll survey",
+    "head": "header head masthead topbar logo branding",
+    "foot": "footer foot colophon copyright imprint contentinfo",
+    "side": "sidebar side aside widget widgets rail related recommended recommendations trending popular teaser teasers complementary",
+    "notice": "notice notices cookie cookies consent gdpr alert alerts popup modal newsletter subscribe subscription paywall disclaimer toast overlay",
+    "comment": "comment comments commentlist reply replies respond discussion disqus responses feedback forum",
+    "form": "form forms search login signin signup register",
     "social": "share sharing social follow tags rating print",
-    "content": "article content contents post entry main story text body page paragraph copy prose document",
+    "content": "article content contents post entry story text paragraph prose document",
 }
+SURE = frozenset("advertisement adsense adslot outbrain taboola navbar navigation breadcrumb breadcrumbs masthead footer colophon sidebar cookie cookies gdpr newsletter paywall comments commentlist disqus".split())
+#: Words of layout, which leave what the other words of a name tell as it is.
+LAYOUT = frozenset(
+    "area bar block body bottom box button buttons center col column columns container footer grid group header holder inner item items label left level line link links list main menu "
+    "more most page panel posts primary recent right row secondary section site slot small the title top unit view wide wrap wrapper".split()
+)
 HINT_OF = {w: k for k, words in HINTS.items() for w in words.split()}
 _ANCESTORS = "article aside blockquote body dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header label li main menu nav ol p pre section select table td textarea th ul button details dialog option".split()
+_IN_ARTICLE = ("header", "footer", "aside", "nav", "form", "section", "figure", "table")
 FEATURES = {
     name: k
     for k, name in enumerate(
-        ["bias", *(f"in:{t}" for t in _ANCESTORS), *(f"own:{t}" for t in _ANCESTORS), *(f"hint:{h}" for h in HINTS), *(f"near:{h}" for h in HINTS)]
-        + [f"words:{k}" for k in range(6)] + [f"links:{k}" for k in range(4)] + ["stop", "commas", "mark:©", "mark:bar", "upper", "first", "last", "bare", "negative", "clean"]
+        ["bias", *(f"in:{t}" for t in _ANCESTORS), *(f"own:{t}" for t in _ANCESTORS), *(f"hint:{h}" for h in HINTS), *(f"near:{h}" for h in HINTS), *(f"weak:{h}" for h in HINTS)]
+        + [f"article>{t}" for t in _IN_ARTICLE] + [f"words:{k}" for k in range(6)] + [f"links:{k}" for k in range(4)]
+        + ["stop", "commas", "mark:©", "mark:bar", "upper", "first", "last", "bare", "negative", "clean", "wrapped"]
     )
 }
-_NEGATIVE_TAGS = frozenset("nav footer header aside form menu select button textarea dialog fieldset label option".split())
+_NEGATIVE_TAGS = frozenset("nav footer aside form menu select button textarea dialog fieldset label option".split())
+#: The share of a page's text from which on an element that holds its heading is a wrapper, whatever it is called.
+WRAPPER = 0.5
+
+
+class Level:
+    """An open element: tag, what its names tell for sure and perhaps, its text's length, and whether it holds a heading or main part."""
+
+    __slots__ = ("chars", "main", "sure", "tag", "weak")
+
+    def __init__(self, tag: str, sure: tuple[str, ...], weak: tuple[str, ...]):
+        self.tag, self.sure, self.weak, self.chars, self.main = tag, sure, weak, 0, False
 
 
 class Block:
@@ -54,11 +73,14 @@ class Block:
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The page's leaf blocks in order: text with references decoded and white space made one space, and the (tag, hints) above it."""
+    """The page's leaf blocks in order: text with references decoded and white space made one space, and the Levels above it.
+
+    Blocks end where a block element begins or ends, and at br. Text in noscript is none: it asks for scripts or repeats them.
+    """
     out: list[Block] = []
     if not page:
         return out
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Level] = []
     parts: list[str] = []
     links = linked = at = 0
 
@@ -69,6 +91,8 @@ def blocks(page: str | None) -> list[Block]:
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
                 out.append(Block(text, tuple(stack), linked))
+                for level in stack:
+                    level.chars += len(text)
             parts.clear()
         linked = 0
 
@@ -92,16 +116,20 @@ def blocks(page: str | None) -> list[Block]:
             links = 0
             if m[2]:
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
+                    if stack[k].tag == tag:
                         del stack[k:]
                         break
             else:
-                if stack and stack[-1][0] == "p":
+                if stack and stack[-1].tag == "p":
                     stack.pop()
-                elif stack and tag in CLOSED_BY.get(stack[-1][0], ()):
+                elif stack and tag in CLOSED_BY.get(stack[-1].tag, ()):
                     stack.pop()
                 if tag not in VOID_TAGS and not m[4].endswith("/"):
-                    stack.append((tag, hints(m[4]) if m[4] else ()))
+                    level = Level(tag, *(hints(m[4]) if m[4] else ((), ())))
+                    if tag in ("h1", "main") or (tag == "article" and "comment" not in level.sure):
+                        for above in stack:
+                            above.main = True
+                    stack.append(level)
         elif tag in ("span", "font") and m[4] and not m[2]:
             continue
     if at < len(page):
@@ -110,35 +138,60 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-def hints(attributes: str) -> tuple[str, ...]:
-    found = []
+def hints(attributes: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """What class, id and role tell for sure, and what they may tell: names of which some words are unknown."""
+    sure, weak = [], []
     for m in ATTRIBUTE.finditer(attributes):
-        for word in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower()):
-            if (h := HINT_OF.get(word)) and h not in found:
-                found.append(h)
-    return tuple(found)
+        for name in re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").replace("_", "-").split() if m[0] else ():
+            words = re.findall(r"[a-z]{2,}", name.lower())
+            told = [h for w in words if (h := HINT_OF.get(w))]
+            if not told:
+                continue
+            plain = all(w in HINT_OF or w in LAYOUT for w in words) or any(w in SURE for w in words)
+            if "content" in told and set(told) <= {"content", "head"}:
+                told = ["content"]  # an entry's header holds its heading
+            elif any(h != "content" for h in told):
+                told = [h for h in told if h != "content"]
+            for h in told:
+                kept = sure if plain else weak
+                if h not in kept:
+                    kept.append(h)
+    return tuple(sure), tuple(weak)
 
 
 _PATHS: dict[tuple, list[int]] = {}
 
 
 def path_features(path: tuple) -> list[int]:
-    """Features of the ancestors; pages share most paths, so they are kept (up to a bound)."""
+    """Features of the ancestors (tag, sure, weak, wrapper); pages share most paths, so they are kept (up to a bound).
+
+    A wrapper's names tell nothing, and neither does a form that wraps the page. Names tell more the nearer they stand.
+    """
     if (known := _PATHS.get(path)) is not None:
         return known
     names = {"bias"}
     near = None
-    for tag, hs in path:
-        names.add(f"in:{tag}")
-        names.update(f"hint:{h}" for h in hs)
-        near = hs[-1] if hs else near
+    article = bad = False
+    for tag, sure, weak, wrapper in path:
+        if wrapper:
+            names.add("wrapped")
+            sure, weak = tuple(h for h in sure if h == "content"), ()
+        if not (wrapper and tag == "form"):
+            names.add(f"in:{tag}")
+            bad |= tag in _NEGATIVE_TAGS or (tag == "header" and not article)
+        if article:
+            names.add(f"article>{tag}")
+        article |= tag in ("article", "main")
+        bad |= any(h != "content" for h in sure)
+        names.update(f"hint:{h}" for h in sure)
+        names.update(f"weak:{h}" for h in weak)
+        near = sure[-1] if sure else near
     if near:
         names.add(f"near:{near}")
     if path:
         names.add(f"own:{path[-1][0]}")
-    bad = any(t in _NEGATIVE_TAGS for t, _ in path) or any(h != "content" for _, hs in path for h in hs)
     names.add("negative" if bad else "clean")
-    if all(t in ("html", "body", "p", "div") and not hs for t, hs in path):
+    if all(t in ("html", "body", "p", "div") and not hs for t, hs, _, _ in path):
         names.add("bare")
     found = sorted(FEATURES[n] for n in names if n in FEATURES)
     if len(_PATHS) > 20_000:
@@ -154,12 +207,13 @@ def features(page: list[Block]) -> list[list[int]]:
     """Feature numbers of each block, in order."""
     rows = []
     f = FEATURES
+    enough = WRAPPER * sum(len(b.text) for b in page)
     for k, b in enumerate(page):
         text = b.text
         n = text.count(" ") + 1
         share = b.linked / len(text)
         row = [
-            *path_features(b.path),
+            *path_features(tuple([(x.tag, x.sure, x.weak, x.main and x.chars >= enough) for x in b.path])),
             f["words:0"] + (0 if n < 3 else 1 if n < 7 else 2 if n < 15 else 3 if n < 40 else 4 if n < 100 else 5),
             f["links:0"] + (0 if not b.linked else 1 if share < 0.3 else 2 if share < 0.8 else 3),
         ]

@@ -1,9 +1,9 @@
 """Operator 1, HTML extraction: a linear-chain conditional random field over a page's leaf blocks.
 
 Each block is content or boilerplate. Features are its ancestors' tags and what their class, id and role hint at, its length,
-links and punctuation. The field is trained here on labelled pages that a seeded generator writes (articles in many kinds
-of containers, amid menus, notices, adverts, comments and so on, each block with its label), by gradient ascent on the
-log-likelihood with forward-backward, and decoded by Viterbi.
+links and punctuation. The field is trained here on pages labelled by hand and on pages that a seeded generator writes (articles
+in many kinds of containers with telling, neutral and misleading names, amid menus, notices, adverts, comments and so on, each
+block with its label), by gradient ascent on the log-likelihood with forward-backward, and decoded by Viterbi.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import slices
 from foliospark.llm.html_blocks import FEATURES, blocks, features
+from foliospark.llm.labelled_pages import labelled_pages
 
-TRAINING_PAGES = 400
+#: Generated pages, and how often each page labelled by hand counts.
+TRAINING_PAGES, BY_HAND = 400, 12
 
 
 def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
@@ -30,12 +32,16 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
     def sentence(low=4, high=18):
         return " ".join(word() + rng.choice(("", "", "", ",")) for _ in range(rng.randint(low, high))).rstrip(",").capitalize() + rng.choice("...?!")
 
+    barred = rng.random() < 0.1  # some texts are lists of words between bars
+
     def prose():
-        return " ".join(sentence() for _ in range(rng.choice((1, 1, 2, 3, 5, 9))))
+        found = " ".join(sentence() for _ in range(rng.choice((1, 1, 2, 3, 5, 9))))
+        return found.replace(" ", " | ").rstrip(".") if barred and rng.random() < 0.7 else found
 
     def phrase(low=1, high=4):
         return " ".join(word() for _ in range(rng.randint(low, high)))
 
+    misleading = ("review", "legal", "social", "more", "related", "share", "ad", "notice", "side", "popular", "header", "search", "form", "tags", "alert")
     out: list[str] = []
     labels: list[int] = []
 
@@ -49,7 +55,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
             "ad": ["ad", "ads", "advert", "advertisement", "ad-slot", "sponsored", "promo-box", "banner"],
             "nav": ["nav", "menu", "main-menu", "breadcrumbs", "navbar", "pagination"],
             "head": ["header", "site-header", "masthead", "top-bar"],
-            "foot": ["footer", "site-footer", "colophon", "legal"],
+            "foot": ["footer", "site-footer", "colophon", "imprint"],
             "side": ["sidebar", "widget", "related", "right-rail", "recommended", "popular"],
             "notice": ["notice", "cookie-notice", "consent", "newsletter", "alert", "subscribe", "paywall"],
             "comment": ["comments", "comment-list", "respond", "reader-comments", "discussion", "replies"],
@@ -59,6 +65,11 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
         name = rng.choice(names)
         return rng.choice((f' class="{name}"', f' id="{name}"', f" class='{name} {word()}'"))
 
+    def odd():
+        """A name that tells nothing, or seems to tell what it does not."""
+        name = rng.choice(("page", "site", "wrapper", "top", "row", word(), f"{word()}-{rng.choice(misleading)}", f"{rng.choice(misleading)}-{word()}"))
+        return rng.choice(("", f' class="{name}"', f' id="{name}"', f' class="{word()} {name}"'))
+
     def links(n):
         for _ in range(n):
             put(f'<li><a href="/{word()}">{phrase(1, 3)}</a></li>', 0)
@@ -116,15 +127,26 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
             junk(kind)
     kind = rng.choice(("article", "article", "article", "main", "div", "section", "mixed", "plain"))
     begin, end = {
-        "article": ("<article>", "</article>"), "main": ("<main>", "</main>"), "div": (f"<div{attr('content')}>", "</div>"), "section": (f"<section{attr('content')}>", "</section>"),
-        "mixed": ("<main><article>", "</article></main>"), "plain": ("<div>", "</div>"),
+        "article": (f"<article{odd()}>", "</article>"), "main": (f"<main{odd()}>", "</main>"), "div": (f"<div{attr('content')}>", "</div>"), "section": (f"<section{attr('content')}>", "</section>"),
+        "mixed": (f"<main{odd()}><article{odd()}>", "</article></main>"), "plain": (f"<div{odd()}>", "</div>"),
     }[kind]
+    if rng.random() < 0.4:
+        begin, end = f"<div{odd()}>{begin}", f"{end}</div>"
+    if rng.random() < 0.3:
+        begin, end = f"{begin}<div{odd()}>", f"</div>{end}"
     put(begin)
     if rng.random() < 0.7:
-        put(f"<h1>{rng.choice((phrase(2, 8), sentence()))}</h1>", 1)
+        title = f"<h1>{rng.choice((phrase(2, 8), sentence()))}</h1>"
+        put(f"<header>{title}</header>" if "article" in kind and rng.random() < 0.3 else title, 1)
     for _ in range(rng.randint(1, 12)):
         style = rng.random()
-        if style < 0.62:
+        if style < 0.04:
+            tag = rng.choice(("section", "div"))
+            put(f"<{tag}{odd()}>")
+            for _ in range(rng.randint(1, 3)):
+                put(f"<p>{prose()}</p>", 1)
+            put(f"</{tag}>")
+        elif style < 0.62:
             linked = rng.random()
             inner = f"<a href='/{word()}'>{prose()}</a>" if linked < 0.04 else f"{prose()} <a href='/{word()}'>{phrase()}</a> {prose()}" if linked < 0.2 else prose()
             put(f"<p>{inner}</p>", 1)
@@ -187,7 +209,7 @@ class Field:
 def trained(pages: int = TRAINING_PAGES, rounds: int = 80, seed: int = 1) -> Field:
     """The field after `rounds` of Adam on the mean log-likelihood of so many labelled pages, less a small square penalty."""
     rng = random.Random(seed)
-    made = [labelled_page(rng) for _ in range(pages)]
+    made = [labelled_page(rng) for _ in range(pages)] + labelled_pages() * BY_HAND
     cut = [(features(blocks(page)), labels) for page, labels in made]
     cut = [(x, y) for x, y in cut if x and len(x) == len(y)]
     n, most = len(cut), max(len(y) for _, y in cut)
