@@ -1,13 +1,15 @@
 """Operator 8, language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the UTF-8 bytes of a run of letters (lower case, a boundary byte at either end) in both directions, labels
-every position, and a document pools the positions' probabilities over its whole text. Its state starts anew at each run of
-letters, so each distinct run is computed once per worker and memo. Training is numpy alone: backpropagation through time and Adam.
+The network reads a document's UTF-8 bytes (lower case) in both directions, labels every byte, and the document pools the
+probabilities of the bytes that belong to letters. Texts are read in windows of CORE bytes with CONTEXT more on either side:
+the state starts at the window's end and has read the context before the first byte that it labels, so words and what stands
+between them are read together and every byte is labelled once. In texts of one language the windows agree with one pass over
+the whole text (tested to 0.01 of the probability); in mixed texts a window forgets the language before its context sooner. Training is numpy alone: backpropagation through time and Adam.
 """
 
 from __future__ import annotations
 
-import re
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -16,25 +18,33 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import slices
 
-LETTERS = re.compile(r"[^\W\d_]+")
-#: The most labelled rows per language, and characters of each, that training reads.
-ROWS_PER_LANGUAGE, CHARS = 400, 600
-#: Bytes of a run read at once; longer runs are read in pieces.
-PIECE = 24
-MEMO = 300_000
-BOUND = 0x20
+#: Bytes that a window labels, bytes read beside them on either side, windows computed at once.
+CORE, CONTEXT, BATCH = 224, 16, 1024
+#: Bytes of a training window.
+TRAINED = 48
 
 
 def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 4 == 2
 
 
+@functools.cache
+def letter_table() -> np.ndarray:
+    """Whether a code point is a letter (categories L*)."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def letter_bytes(text: str) -> np.ndarray:
+    """For each byte of the text in UTF-8 whether it belongs to a letter."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.repeat(letter_table()[codes], 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF).astype(np.int64))
+
+
 def sequences(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(time x batch bytes, lengths) of runs with their boundary bytes; padding is 0."""
-    lengths = np.array([len(r) + 2 for r in runs], np.int64)
+    """(time x batch bytes, lengths) of byte strings; padding is 0."""
+    lengths = np.fromiter(map(len, runs), np.int64, len(runs))
     out = np.zeros((len(runs), int(lengths.max())), np.uint8)
-    flat = np.frombuffer(b"".join(b" " + r + b" " for r in runs), np.uint8)
-    out[np.arange(out.shape[1]) < lengths[:, None]] = flat
+    out[np.arange(out.shape[1]) < lengths[:, None]] = np.frombuffer(b"".join(runs), np.uint8)
     return np.ascontiguousarray(out.T), lengths
 
 
@@ -58,8 +68,8 @@ class Network:
         inputs = self.w[way + "x"] + self.w[way + "c"]
         u = self.w[way + "u"]
         steps = range(len(x)) if way == "f" else range(len(x) - 1, -1, -1)
-        state = np.zeros((x.shape[1], h), np.float32)
-        out, kept = np.empty((*x.shape, h), np.float32), {}
+        state = np.zeros((x.shape[1], h), inputs.dtype)
+        out, kept = np.empty((*x.shape, h), inputs.dtype), {}
         for t in steps:
             on = (lengths > t)[:, None]
             a, b = inputs[x[t]], state @ u
@@ -99,143 +109,133 @@ class Network:
         e = np.exp(logits - logits.max(axis=2, keepdims=True))
         return e / e.sum(axis=2, keepdims=True) * (np.arange(len(x))[:, None] < lengths)[:, :, None]
 
-    def pooled(self, runs: list[bytes]) -> np.ndarray:
-        """For each run the sum of its positions' probabilities, and in the last column how many positions."""
-        out = np.empty((len(runs), len(self.labels) + 1), np.float32)
-        order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
-        for at in range(0, len(order), 2048):
-            part = order[at : at + 2048]
-            x, lengths = sequences([runs[i] for i in part])
-            out[part, :-1] = self.probabilities(x, lengths).sum(axis=0)
-            out[part, -1] = lengths
+    def pooled(self, text: str) -> list[tuple[bytes, np.ndarray]]:
+        """The text's windows: bytes with context, and a weight of 1 for each byte that it labels and that belongs to a letter."""
+        raw = text.encode("utf-8", "surrogatepass")
+        letters = letter_bytes(text)
+        out = []
+        for at in range(0, len(raw), CORE):
+            begin, end = max(0, at - CONTEXT), min(len(raw), at + CORE + CONTEXT)
+            weight = np.zeros(end - begin, np.float32)
+            weight[at - begin : at - begin + CORE] = letters[at : at + CORE]
+            if weight[at - begin : min(at + CORE, len(raw)) - begin].any():  # else there is nothing to label
+                weight[at - begin + CORE :] = 0
+                out.append((raw[begin:end], weight))
+        return out
+
+    def documents(self, texts: list[str | None]) -> np.ndarray:
+        """For each text the sum of its letters' probabilities, and in the last column how many bytes of letters."""
+        out = np.zeros((len(texts), len(self.labels) + 1))
+        windows, of = [], []
+        for k, text in enumerate(texts):
+            found = self.pooled(text.lower()) if text else []
+            windows += found
+            of += [k] * len(found)
+        order = sorted(range(len(windows)), key=lambda i: len(windows[i][0]))
+        for at in range(0, len(order), BATCH):
+            part = order[at : at + BATCH]
+            x, lengths = sequences([windows[i][0] for i in part])
+            weights = np.zeros((len(part), len(x)), np.float32)
+            weights[np.arange(len(x)) < lengths[:, None]] = np.concatenate([windows[i][1] for i in part])
+            sums = np.einsum("tbl,bt->bl", self.probabilities(x, lengths), weights)
+            np.add.at(out, [of[i] for i in part], np.column_stack([sums, weights.sum(axis=1)]))
         return out
 
-    def train(self, runs: list[list[bytes]], steps: int = 500, batch: int = 384, rate: float = 0.02, seed: int = 6) -> None:
-        """runs: for each label its runs; every step draws equally from all labels."""
+    def train(self, texts: list[list[tuple[bytes, np.ndarray]]], steps: int = 260, batch: int = 160, rate: float = 0.02, seed: int = 6) -> None:
+        """texts: for each label its texts' bytes with whether they belong to letters. A step draws equally from all labels, and from a text's bytes a window of TRAINED."""
         rng = np.random.default_rng(seed)
         m, v = {k: np.zeros_like(a) for k, a in self.w.items()}, {k: np.zeros_like(a) for k, a in self.w.items()}
         for step in range(1, steps + 1):
-            y = rng.integers(0, len(runs), batch)
-            x, lengths = sequences([runs[k][int(rng.integers(len(runs[k])))] for k in y.tolist()])
-            f, kf = self.forward(x, lengths, "f", True)
-            b, kb = self.forward(x, lengths, "b", True)
-            both = np.concatenate([f, b], axis=2)
-            logits = both @ self.w["o"] + self.w["p"]
-            e = np.exp(logits - logits.max(axis=2, keepdims=True))
-            d = e / e.sum(axis=2, keepdims=True)
-            d[:, np.arange(batch), y] -= 1
-            d *= (np.arange(len(x))[:, None] < lengths)[:, :, None] / lengths.sum()
-            d = d.astype(np.float32)
-            total = {"o": np.einsum("tbh,tbl->hl", both, d), "p": d.sum(axis=(0, 1))}
-            back = d @ self.w["o"].T
-            self.backward(x, "f", kf, back[:, :, : self.hidden], total)
-            self.backward(x, "b", kb, back[:, :, self.hidden :], total)
+            y = rng.integers(0, len(texts), batch)
+            drawn = [texts[k][int(rng.integers(len(texts[k])))] for k in y.tolist()]
+            places = [int(rng.integers(max(1, len(raw) - TRAINED + 1))) for raw, _ in drawn]
+            x, lengths = sequences([raw[p : p + TRAINED] for (raw, _), p in zip(drawn, places, strict=True)])
+            weights = np.zeros((batch, len(x)))
+            weights[np.arange(len(x)) < lengths[:, None]] = np.concatenate([on[p : p + TRAINED] for (_, on), p in zip(drawn, places, strict=True)])
+            total = self.gradients(x, lengths, y, weights.T)
             pace = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             for k, g in total.items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
                 self.w[k] -= pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
 
-
-def runs_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
-
-
-def pieces(run: str) -> list[bytes]:
-    raw = run.encode()
-    return [raw[at : at + PIECE] for at in range(0, len(raw), PIECE)]
+    def gradients(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean negative log-probability of labels y over the positions of weight 1 (time x batch)."""
+        f, kf = self.forward(x, lengths, "f", True)
+        b, kb = self.forward(x, lengths, "b", True)
+        both = np.concatenate([f, b], axis=2)
+        logits = both @ self.w["o"] + self.w["p"]
+        e = np.exp(logits - logits.max(axis=2, keepdims=True))
+        d = e / e.sum(axis=2, keepdims=True)
+        d[:, np.arange(len(y)), y] -= 1
+        d = (d * weights[:, :, None] / max(weights.sum(), 1.0)).astype(both.dtype)
+        total = {"o": np.tensordot(both, d, ((0, 1), (0, 1))), "p": d.sum(axis=(0, 1))}
+        back = d @ self.w["o"].T
+        self.backward(x, "f", kf, back[:, :, : self.hidden], total)
+        self.backward(x, "b", kb, back[:, :, self.hidden :], total)
+        return total
 
 
-def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Network | None:
-    """A network trained on the labelled rows that are not held out; None without any.
+def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_language: int, chars: int, most_languages: int) -> Network | None:
+    """A network trained on the labelled rows that are not held out; None without any that holds a letter.
 
-    Per language about ROWS_PER_LANGUAGE rows, chosen by a hash of the id, give CHARS characters each from a hashed place: that
-    bound is all that reaches the driver, besides one count per language.
+    About rows_per_language rows of a language, chosen by a hash of the id, give up to chars characters each from a hashed place: that
+    bound is all that reaches the driver, besides one count per language, of which there may be most_languages.
     """
     fit = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
-    fit = fit.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("id")), F.lit(False)))
-    counts = {r["lang"]: r["count"] for r in fit.groupBy("lang").count().collect()}
+    fit = fit.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~F.coalesce(held_out(F.col("id")), F.lit(False)))
+    counts = {r["lang"]: r["count"] for r in fit.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages: raise most_languages if the driver is to hold {rows_per_language} texts of each")
     if not counts:
         return None
-    labels = sorted(counts)
-    ticket = F.pmod(F.xxhash64("id", F.lit("pick")), F.lit(1_000_000))
+    ticket = F.pmod(F.xxhash64("id", "text", F.lit("pick")), F.lit(1_000_000))
     chosen = F.lit(False)
     for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (ticket < int(min(1.0, ROWS_PER_LANGUAGE / n) * 1_000_000)))
-    place = F.pmod(F.xxhash64("id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - CHARS)) + 1
-    rows = fit.where(chosen).select("id", "lang", F.substring("text", place.cast("int"), F.lit(CHARS)).alias("text")).collect()
-    runs: dict[str, list[bytes]] = {lang: [] for lang in labels}
+        chosen = chosen | ((F.col("lang") == lang) & (ticket < int(min(1.0, rows_per_language / n) * 1_000_000)))
+    place = F.pmod(F.xxhash64("id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - chars + 1)) + 1
+    rows = fit.where(chosen).select("id", "lang", F.substring("text", place.cast("int"), F.lit(chars)).alias("text")).collect()
+    texts: dict[str, list[tuple[bytes, np.ndarray]]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["id"] or "", r["text"])):
-        runs[r["lang"]] += [p for run in runs_of(r["text"])[1:-1] for p in pieces(run)]
-    labels = [lang for lang in labels if runs[lang]]
-    if not labels:
+        lower = r["text"].lower()
+        if (on := letter_bytes(lower)).any():
+            texts.setdefault(r["lang"], []).append((lower.encode(), on))
+    if not texts:
         return None
-    network = Network(labels)
-    network.train([runs[lang] for lang in labels])
+    network = Network(sorted(texts))
+    network.train([texts[lang] for lang in network.labels])
     return network
 
 
-class Labeller:
-    """Document labels of a network, with a memo of runs that is emptied when full."""
-
-    def __init__(self, network: Network):
-        self.network, self.memo, self.rows = network, {}, np.empty((0, len(network.labels) + 1), np.float32)
-
-    def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        cut = [runs_of(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo, self.rows = {}, self.rows[:0]
-        if new := list({r for runs in cut for r in runs if r not in self.memo}):
-            split = [pieces(r) for r in new]
-            sums = self.network.pooled([p for ps in split for p in ps])
-            starts = np.cumsum([0] + [len(ps) for ps in split[:-1]])
-            base = len(self.rows)
-            self.rows = np.concatenate([self.rows, np.add.reduceat(sums, starts, axis=0)])
-            self.memo.update(zip(new, range(base, base + len(new)), strict=True))
-        langs, scores = [], []
-        get = self.memo.__getitem__
-        for runs in cut:
-            if not runs:
-                langs.append("und"), scores.append(0.0)
-                continue
-            total = self.rows[np.fromiter(map(get, runs), np.int64, len(runs))].sum(axis=0, dtype=np.float64)
-            k = int(total[:-1].argmax())
-            langs.append(self.network.labels[k]), scores.append(float(min(1.0, total[k] / total[-1])))
-        return langs, scores
-
-
-_LABELLERS: dict[str, Labeller] = {}
-
-
-def worker_labeller(key: str, network: Network) -> Labeller:
-    """One labeller, with its memo, for each Python worker."""
-    if key not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[key] = Labeller(network)
-    return _LABELLERS[key]
-
-
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 400, chars: int = 600, most_languages: int = 500) -> DataFrame:
     """One row per row of docs: the id, held_out, lang_pred and score (the pooled probability of lang_pred).
 
-    The prediction reads the text alone. Null texts and texts without a letter are `und` with score 0, as are all if nothing
+    Training reads a bounded sample: rows_per_language labelled texts, chars characters of each. The prediction reads the whole text
+    and nothing else. Null texts and texts without a letter (category L) are `und` with score 0, as are all if nothing
     is labelled; null ids are not held out; repeated rows stay repeated; an empty table gives no rows; columns not named are
     not read, so names cannot clash.
     """
     spark = docs.sparkSession
-    network = learn(docs, id_col, text_col, lang_col)
+    network = learn(docs, id_col, text_col, lang_col, rows_per_language, chars, most_languages)
     if network is None:
         plain = docs.select(docs[id_col], F.coalesce(held_out(docs[id_col]), F.lit(False)).alias("held_out"))
         return plain.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     shared = spark.sparkContext.broadcast(network)
-    key = f"{id(network)}-{spark.sparkContext.applicationId}-{np.abs(network.w['o']).sum()}"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        labeller = worker_labeller(key, shared.value)
-        for batch in slices(batches):
-            langs, scores = labeller.label(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs), pa.array(scores)], names=["id", "held_out", "lang_pred", "score"])
+        for batch in slices(batches, 256):
+            langs, scores = label(shared.value, batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["id", "held_out", "lang_pred", "score"])
 
     base = docs.select(docs[id_col].alias("id"), F.coalesce(held_out(docs[id_col]), F.lit(False)).alias("held_out"), docs[text_col].cast("string").alias("text"))
     return base.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def label(network: Network, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Labels of texts and the share of the letters' bytes that speaks for them."""
+    sums = network.documents(texts)
+    best = sums[:, :-1].argmax(axis=1)
+    share = sums[np.arange(len(texts)), best] / np.maximum(sums[:, -1], 1)
+    some = sums[:, -1] > 0
+    return [network.labels[k] if on else "und" for k, on in zip(best.tolist(), some.tolist(), strict=True)], np.where(some, np.minimum(share, 1.0), 0.0).tolist()
