@@ -4,7 +4,8 @@ The network reads a document's UTF-8 bytes (lower case) in both directions, labe
 probabilities of the bytes that belong to letters. Texts are read in windows of CORE bytes with CONTEXT more on either side:
 the state starts at the window's end and has read the context before the first byte that it labels, so words and what stands
 between them are read together and every byte is labelled once. In texts of one language the windows agree with one pass over
-the whole text (tested to 0.01 of the probability); in mixed texts a window forgets the language before its context sooner. Training is numpy alone: backpropagation through time and Adam.
+the whole text (tested to 0.01 of the probability); after long runs of another language, or of
+signs that training never met, a window has forgotten them by its context, as a full pass may not. Training is numpy alone: backpropagation through time and Adam.
 """
 
 from __future__ import annotations
