@@ -1,6 +1,7 @@
 """Operator 6, licence scans by a positional index of rare words.
 
-Templates of licence notices are indexed offline: each keeps its words of highest IDF with their places. A text's words are
+Templates of licence notices (whole texts, headers, SPDX lines) are indexed offline: each keeps its words of highest IDF with
+their places; the corpus that IDF counts in is the notices themselves. A text's words are
 looked up in the index; a rare word at place i that stands at p in a template proposes that the template begins at i - p.
 There the template's other postings are intersected by relative place, and the alignment counts if enough IDF agrees and every
 word of the mandatory key phrases stands in its place. All of it happens in the document's row; nothing is shuffled.
@@ -16,56 +17,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import ascii_lower, let
+from foliospark.llm.licence_notices import notices
 
 #: Phrases and labels of the contract.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Notices as their licences publish them: label, words, mandatory key phrases.
-NOTICES = (
-    ("mit", "released under the mit license", ("mit license",)),
-    ("mit", "licensed under the mit license", ("mit license",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("hereby granted free of charge", "copy of this software")),
-    ("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
-    ("lgpl", "under the terms of the gnu lesser general public license", ("gnu lesser general public license",)),
-    ("agpl-3.0", "under the terms of the gnu affero general public license version 3", ("gnu affero general public license",)),
-    ("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
-    ("cc-by-nd-4.0", "licensed under cc by nd 4 0", ("cc by nd 4 0",)),
-    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
-    ("cc0-1.0", "cc0 1 0 universal public domain dedication", ("cc0 1 0",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify",)),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-)
-
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: What every base phrase and every notice holds somewhere; a text without it has no label.
-ANY = rf"(?i)licens|rights{_GAP}reserved|cc{_GAP}by|cc0|redistribution|permission|unencumbered"
-RARE, ANCHORS, SHARE = 6, 2, 0.75
+#: What every base phrase and the mandatory phrases of every notice hold somewhere (tested); a text without it has no label.
+ANY = rf"(?i)licens|rights{_GAP}(?:reserved|to)|cc{_GAP}by|cc0|redistribution|permission|unencumbered|neighboring|endorse|unauthorized|hereby|commons"
+#: Words of a template that are its rare ones, and the share of their IDF that must agree.
+RARE, SHARE = 6, 0.75
 
 
 def templates() -> list[dict]:
-    """The index's templates: words with place p, idf, and whether rare (the highest IDF), anchor (the highest of these) or must."""
-    df = Counter(w for _, text, _ in NOTICES for w in set(text.split()))
+    """The index's templates: words with place p, idf, and whether rare (the highest IDF) or must, and the anchor's place.
+
+    The anchor is the mandatory word of the highest IDF: it stands in every alignment that can count, so looking it up finds all.
+    """
+    found = notices()
+    df = Counter(w for _, words, _ in found for w in set(words))
     out = []
-    for label, text, phrases in NOTICES:
-        words = text.split()
-        idf = [round(math.log(1 + len(NOTICES) / df[w]), 6) for w in words]
+    for label, words, phrases in found:
+        idf = [round(math.log(1 + len(found) / df[w]), 6) for w in words]
         order = sorted(range(len(words)), key=lambda p: (-idf[p], p))
         must = set()
-        for phrase in phrases:
-            k = phrase.split()
+        for k in phrases:
             at = next(i for i in range(len(words)) if words[i : i + len(k)] == k)
             must |= set(range(at, at + len(k)))
         rows = [{"p": p, "w": words[p], "idf": idf[p], "rare": p in order[:RARE], "must": p in must} for p in range(len(words))]
-        # anchors are sought first among the mandatory words, which a match has for sure
-        anchors = sorted(must, key=lambda p: (-idf[p], p))[:ANCHORS]
-        out.append({"label": label, "words": rows, "anchors": anchors, "weight": sum(r["idf"] for r in rows if r["rare"]), "all": sum(idf)})
+        anchor = min(must, key=lambda p: (-idf[p], p))
+        out.append({"label": label, "words": rows, "anchor": anchor, "weight": sum(r["idf"] for r in rows if r["rare"]), "all": sum(idf)})
     return out
 
 
@@ -77,20 +59,21 @@ def _notice_hits(words: Column) -> Column:
     found = templates()
     posts: dict[str, list[dict]] = {}
     for t, template in enumerate(found):
-        for p in template["anchors"]:
-            posts.setdefault(template["words"][p]["w"], []).append({"t": t, "p": p})
+        p = template["anchor"]
+        posts.setdefault(template["words"][p]["w"], []).append({"t": t, "p": p})
     index = F.from_json(F.lit(json.dumps(posts)), "map<string,array<struct<t:int,p:int>>>")
     table = F.from_json(F.lit(json.dumps(found)), _TEMPLATES)
     rare = F.array(*[F.lit(w) for w in sorted(posts)])
     hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(rare, h["w"]))
     # a proposal is one long: place and template
-    starts = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["w"]), lambda p: (h["i"] - p["p"]).cast("long") * 64 + p["t"]))))
+    starts = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["w"]), lambda p: (h["i"] - p["p"]).cast("long") * len(found) + p["t"]))))
 
     def verdict(start: Column) -> Column:
-        at, template = F.floor(start / 64).cast("int"), F.get(table, F.pmod(start, F.lit(64)).cast("int"))
+        t = F.pmod(start, F.lit(len(found)))
+        at, template = ((start - t) / len(found)).cast("int"), F.get(table, t.cast("int"))
         agrees = lambda r: F.coalesce(F.get(words, at + r["p"]) == r["w"], F.lit(False))
         total = lambda kept: F.aggregate(template["words"], F.lit(0.0), lambda a, r: a + F.when(kept(r) & agrees(r), r["idf"]).otherwise(0.0))
-        ok = F.forall(template["words"], lambda r: ~r["must"] | agrees(r)) & (total(lambda r: r["rare"]) >= SHARE * template["weight"])
+        ok = F.forall(template["words"], lambda r: ~r["must"] | agrees(r)) & (total(lambda r: r["rare"]) >= SHARE * template["weight"] - 1e-9)
         return F.struct(F.when(ok, template["label"]).alias("label"), F.least(F.lit(1.0), F.when(ok, total(lambda r: F.lit(True)) / template["all"])).alias("score"))
 
     return F.filter(F.transform(starts, verdict), lambda v: v["label"].isNotNull())
@@ -145,7 +128,7 @@ def oracle() -> str:
     rows, anchors = [], []
     for t, x in enumerate(templates()):
         rows += [f"({t}, '{x['label']}', {r['p']}, '{r['w']}', {r['idf']}::DOUBLE, {r['rare']}, {r['must']})" for r in x["words"]]
-        anchors += [f"({t}, {p}, '{x['words'][p]['w']}')" for p in x["anchors"]]
+        anchors.append(f"({t}, {x['anchor']}, '{x['words'][x['anchor']]['w']}')")
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in BASE)
     return f"""
 with t(t, label, p, w, idf, rare, must) as (values {", ".join(rows)}), a(t, p, w) as (values {", ".join(anchors)}), b(phrase, label, k) as (values {phrases}),

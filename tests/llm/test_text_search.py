@@ -10,6 +10,7 @@ from foliospark.llm import decontaminate as D
 from foliospark.llm import licence_scan as L
 from foliospark.llm import repeats as R
 from foliospark.llm import simhash as S
+from foliospark.llm.licence_notices import IDENTIFIERS, TEXTS, notices
 from tests_llm_truth import fingerprint, least_ids
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -240,18 +241,28 @@ def licence_truth(text):
     for t in L.templates():
         for start in range(-len(t["words"]), len(words)):
             met = [r for r in t["words"] if 0 <= start + r["p"] < len(words) and words[start + r["p"]] == r["w"]]
-            if sum(r["must"] for r in met) == sum(r["must"] for r in t["words"]) and sum(r["idf"] for r in met if r["rare"]) >= L.SHARE * t["weight"]:
+            if sum(r["must"] for r in met) == sum(r["must"] for r in t["words"]) and sum(r["idf"] for r in met if r["rare"]) >= L.SHARE * t["weight"] - 1e-9:
                 labels.add(t["label"])
                 score = max(score, min(1.0, sum(r["idf"] for r in met) / t["all"]))
     at = [k for k, _ in places]
     return len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(labels)), round(score, 6)
 
 
+def test_notices_are_sound():
+    """Every notice is found in its own text, and the gate lets through every text that can hold one."""
+    assert len(notices()) > 64 and len({(n, tuple(w)) for n, w, _ in notices()}) == len(notices())
+    for _, words, phrases in notices():
+        assert any(re.search(L.ANY, " ".join(p)) for p in phrases), phrases
+        assert all(any(words[i : i + len(p)] == p for i in range(len(words))) for p in phrases)
+    assert all(re.search(L.ANY, phrase) for phrase, _ in L.BASE)
+
+
 def test_licences(spark, edge_docs, edge_rows, no_docs):
     texts = [
         "Licensed under CC BY-NC 4.0.", "cc by cc by CC-BY", "x. Released under the MIT License. All rights  reserved! all rights reserved", "This work is licensed under the GNU General Public License, version 3.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Licensed under the Apache License, Version 2.0", "license", "apache license version 3",
-        "Éß all rights reserved", "redistribution and use in source and binary forms with modification", *[n for _, n, _ in L.NOTICES], " ".join(n for _, n, _ in L.NOTICES) * 3,
+        "Éß all rights reserved", "redistribution and use in source and binary forms with modification", *[n for _, n, _ in TEXTS], " ".join(n for _, n, _ in TEXTS) * 2,
+        *[f"# SPDX-License-Identifier: {i}\nint x;" for i in IDENTIFIERS], "SPDX-License-Identifier:", "license identifier MIT", TEXTS[4][1].replace("merge", "join").replace("furnished", "given"),
     ]
     rows = list(enumerate(texts)) + [(100 + i, t) for i, t, *_ in edge_rows[:7]]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
