@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import slices
+from foliospark.llm.common import slices, stored
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
@@ -54,11 +54,24 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
+class Statistics:
+    """What BM25 and the passages take from all items: how many, their words, the longest, and in how many each word stands."""
+
+    def __init__(self, texts: Iterable[str | None]):
+        self.n = self.words = 0
+        self.longest, self.df = 1, Counter()
+        for text in texts:
+            if words := words_of(text):
+                self.n, self.words, self.longest = self.n + 1, self.words + len(words), max(self.longest, len(words))
+                self.df.update(set(words))
+
+
 class ItemIndex:
-    """The block-max index of items [(id, text)]; items without words are left out."""
+    """The block-max index of items [(id, text)], by the statistics of all items (of these if none are given); items without words are left out."""
 
-    def __init__(self, items: list[tuple], threshold: float):
+    def __init__(self, items: list[tuple], threshold: float, of_all: Statistics | None = None):
         self.threshold = threshold
+        of_all = of_all or Statistics(t for _, t in items)
         kept = [(i, t, words_of(t)) for i, t in items if words_of(t)]
         self.ids = [i for i, _, _ in kept]
         self.shingles = [shingle_set(w) for _, _, w in kept]
@@ -66,19 +79,17 @@ class ItemIndex:
         self.questions = [shingle_set(words_of(q)) for q, _ in split]
         self.long_question = [len(words_of(q)) >= SHINGLE for q, _ in split]  # shorter ones tell nothing alone
         self.answers = [Counter(words_of(a)) for _, a in split]
-        self.length = 2 * (max((len(w) for _, _, w in kept), default=1) + BETWEEN)
-        self.length += self.length % 2
+        self.length = 2 * (of_all.longest + BETWEEN)
         n = len(kept)
-        df = Counter(w for _, _, ws in kept for w in set(ws))
-        self.vocabulary = {w: k for k, w in enumerate(sorted(df))}
+        self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, _, ws in kept for w in ws}))}
         self.none = len(self.vocabulary)  # stands for any other word
-        average = sum(len(w) for _, _, w in kept) / max(n, 1)
+        average = of_all.words / max(of_all.n, 1)
         self.n_blocks = -(-n // BLOCK)
         cells: dict[int, np.ndarray] = {}  # (term, block) -> impacts of the block's items
         for d, (_, _, ws) in enumerate(kept):
             weights = {}
             for w, tf in Counter(ws).items():
-                idf = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
+                idf = math.log(1 + (of_all.n - of_all.df[w] + 0.5) / (of_all.df[w] + 0.5))
                 weights[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / average))
             own = sum(weights.values())
             for w, x in weights.items():
@@ -162,16 +173,30 @@ class ItemIndex:
 
 
 def indexes(items: DataFrame, item_col: str, text_col: str, threshold: float) -> Iterator[ItemIndex]:
-    """Indexes of INDEX_BYTES of item text each: the driver holds one at a time, and that is the bound of a broadcast."""
+    """Indexes of INDEX_BYTES of item text each, by the statistics of all items.
+
+    Items are read twice, row by row: the driver holds one index at a time, and the words' counts.
+    """
+    rows = items.select(item_col, F.col(text_col).cast("string"))
+    of_all = Statistics(r[1] for r in rows.toLocalIterator())
     held, size = [], 0
-    for r in items.select(item_col, F.col(text_col).cast("string")).toLocalIterator():
+    for r in rows.toLocalIterator():
         held.append((r[0], r[1]))
         size += len(r[1] or "")
         if size >= INDEX_BYTES:
-            yield ItemIndex(held, threshold)
+            yield ItemIndex(held, threshold, of_all)
             held, size = [], 0
     if held:
-        yield ItemIndex(held, threshold)
+        yield ItemIndex(held, threshold, of_all)
+
+
+def each_index(shared: list) -> Iterator[ItemIndex]:
+    """The broadcast indexes one by one: a single one stays with the worker, of several one at a time is read from its local file."""
+    if len(shared) == 1:
+        yield shared[0].value
+    else:
+        for b in shared:
+            yield b.load_from_path(b._path)
 
 
 def contamination(
@@ -184,38 +209,43 @@ def contamination(
     scores threshold, has `overlap` of the five-word shingles of the item, or of its question if that has
     five words or more (words may stand between question and answer), and `answer_overlap` of its answer's words. An item of under five words is
     held where its words stand as one run. Texts are read whole; null and wordless texts and items hold nothing; repeated rows report each; an empty table gives no rows; other
-    columns are not read, so names cannot clash. Narrow: nothing is shuffled.
+    columns are not read, so names cannot clash. The documents are scanned once, each batch against one index after another, and
+    nothing is shuffled; what is found is written, after which the broadcast indexes go.
     """
     spark = docs.sparkSession
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     schema = f"id {kinds[0]}, item {kinds[1]}, score double, overlap double, question_overlap double, answer_overlap double, word long"
     base = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    found = spark.createDataFrame([], schema)
-    for index in indexes(items, item_col, item_text_col, threshold):
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches, shared=shared):
-            index = shared.value
-            for batch in slices(batches, 64):
-                texts = [words_of(t) for t in batch.column(1).to_pylist()]
-                full = [k for k, words in enumerate(texts) if words]
-                if not full or not index.n_blocks:
-                    continue
-                rows = [index.passages(texts[k]) for k in full]
-                doc = np.repeat(full, [len(r) for r in rows])
-                place = np.concatenate([np.arange(len(r)) for r in rows]) * (index.length // 2)
-                best: dict[tuple[int, int], tuple] = {}
-                for p, item, score in zip(*(x.tolist() for x in index.search(np.concatenate(rows))), strict=True):
-                    k, at = int(doc[p]), int(place[p])
-                    shares = index.verify(texts[k][at : at + index.length], item)
-                    if (shares[0] >= overlap or index.long_question[item] and shares[1] >= overlap) and shares[2] >= answer_overlap:
-                        best[k, item] = max(best.get((k, item), (0.0,)), (*shares[:1], score, *shares[1:], at))
-                if best:
-                    ids = batch.column(0).to_pylist()
-                    cols = list(zip(*((ids[k], index.ids[i], s, o, q, a, at) for (k, i), (o, s, q, a, at) in best.items()), strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, out_types(batch.column(0).type, index.ids), strict=True)], names=NAMES)
-
-        found = found.union(base.mapInArrow(run, schema))
+    shared = [spark.sparkContext.broadcast(index) for index in indexes(items, item_col, item_text_col, threshold)]
+
+    def held(index, batch):
+        texts = [words_of(t) for t in batch.column(1).to_pylist()]
+        full = [k for k, words in enumerate(texts) if words]
+        if not full or not index.n_blocks:
+            return
+        rows = [index.passages(texts[k]) for k in full]
+        doc = np.repeat(full, [len(r) for r in rows])
+        place = np.concatenate([np.arange(len(r)) for r in rows]) * (index.length // 2)
+        best: dict[tuple[int, int], tuple] = {}
+        for p, item, score in zip(*(x.tolist() for x in index.search(np.concatenate(rows))), strict=True):
+            k, at = int(doc[p]), int(place[p])
+            shares = index.verify(texts[k][at : at + index.length], item)
+            if (shares[0] >= overlap or index.long_question[item] and shares[1] >= overlap) and shares[2] >= answer_overlap:
+                best[k, item] = max(best.get((k, item), (0.0,)), (*shares[:1], score, *shares[1:], at))
+        if best:
+            ids = batch.column(0).to_pylist()
+            cols = list(zip(*((ids[k], index.ids[i], s, o, q, a, at) for (k, i), (o, s, q, a, at) in best.items()), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, out_types(batch.column(0).type, index.ids), strict=True)], names=NAMES)
+
+    def run(batches):
+        for batch in batches:
+            for index in each_index(shared):
+                for part in slices([batch], 64):
+                    yield from held(index, part)
+
+    found = stored(base.mapInArrow(run, schema), "contamination")
+    for b in shared:
+        b.destroy()
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score", "overlap", "question_overlap", "answer_overlap", "word")
 
 
@@ -227,6 +257,8 @@ def out_types(id_type: pa.DataType, item_ids: list) -> list:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with its columns, whose id has no item by contamination()."""
-    held = contamination(docs, items, id_col, text_col, **options).select(F.col(id_col).alias("__held")).distinct()
-    return docs.join(held, docs[id_col].eqNullSafe(F.col("__held")), "left_anti")
+    """The rows of docs, with its columns, whose id has no item by contamination(). Columns of docs may have any names."""
+    held = contamination(docs, items, id_col, text_col, **options).select(F.col(id_col).alias("held")).distinct()
+    held = stored(held, "held")  # of known size: broadcast where small
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"))
+    return rows.join(held, rows["id"].eqNullSafe(held["held"]), "left_anti").select("row.*")
