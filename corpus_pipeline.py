@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm.common import stored, table
+from foliospark.llm.common import delete_stored, stored, table
 from foliospark.llm.decontaminate import decontaminated
 from foliospark.llm.mixing import mixture
 from foliospark.llm.quality_rules import keep_good
@@ -47,6 +47,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token table of documents after all stages."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+        if k:
+            delete_stored(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
