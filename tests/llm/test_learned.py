@@ -92,10 +92,12 @@ def test_network_gradients():
     weights = (np.arange(len(x))[:, None] < lengths) * (x != 32).astype(float)
 
     def loss():
-        picked = np.where(weights > 0, net.probabilities(x, lengths)[:, np.arange(3), y], 1.0)
+        picked = np.where(weights > 0, net.probabilities(x, lengths)[:, y, np.arange(3)], 1.0)
         return -np.log(picked).sum() / weights.sum()
 
     taken = net.gradients(x, lengths, y, weights)
+    for way in "fb":  # the states of prediction are those of training
+        assert np.allclose(net.states(x, lengths, way).transpose(0, 2, 1), net.forward(x, lengths, way)[0], atol=1e-12)
     for name in ("fx", "fu", "fc", "bx", "bu", "bc", "o", "p"):
         for at in {"x": [(97, 1), (32, 4), (122, 7)], "u": [(1, 2), (0, 5), (2, 8)], "c": [(0,), (4,), (8,)], "o": [(0, 1), (5, 2)], "p": [(1,)]}[name[-1]]:
             old = net.w[name][at]
@@ -139,7 +141,7 @@ def test_windows_against_a_direct_pass():
             assert not row.any()
             continue
         x, lengths = G.sequences([t.encode()])
-        direct = (net.probabilities(x, lengths)[:, 0] * G.letter_bytes(t)[:, None]).sum(axis=0)
+        direct = (net.probabilities(x, lengths)[:, :, 0] * G.letter_bytes(t)[:, None]).sum(axis=0)
         assert row[-1] == G.letter_bytes(t).sum() and np.abs(row[:-1] - direct).max() <= 0.01 * row[-1] + 1e-3, t[:40]
     # in a text of two languages a window forgets what stands before its context, as a full pass does not
     (row,) = net.documents([text("aa", 150) + ". 12 " + text("bb", 150)])
