@@ -336,3 +336,16 @@ def same_origins(spark, d):
     a = S.table(spark, d, "pages").select("page_id", "url")
     b = a.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
     return a.join(b, "page_id").select("page_id", U.same_origin(F.col("url"), F.col("next")).alias("same"))
+
+
+_NEXT = (
+    ("'http://h/read/' || page_id || '.html'", "'http://h/read/' || page_id || '_2.html'", True), ("'http://h/read/' || page_id || '_4.html'", "'http://h/read/' || page_id || '_5.html'", True),
+    ("'http://h/ch_' || page_id || '.html'", "'http://h/ch_' || (page_id + 1) || '.html'", False), ("url || '?id=' || page_id", "url || '?page=2&id=' || page_id", True),
+    ("url || '?id=1&p=' || page_id", "url || '?id=1&p=' || (page_id + 1)", None), ("url || '?' || page_id", "url || '?' || page_id || '-2'", True), ("url", "url || '?page=3'", False), ("url || '#/r/' || page_id", "url || '#/r/' || page_id || '_2'", True),
+)
+
+
+@query("select page_id, case page_id % 8 " + " ".join(f"when {k} then {'page_id > 0' if same is None else str(same).lower()}" for k, (_, _, same) in enumerate(_NEXT)) + " end same from pages")
+def continuations(spark, d):
+    choice = lambda side: F.expr("case page_id % 8 " + " ".join(f"when {k} then {case[side]}" for k, case in enumerate(_NEXT)) + " end")
+    return S.table(spark, d, "pages").withColumn("url", F.expr("regexp_replace(url, '[?#].*$', '')")).select("page_id", U.continues(choice(0), choice(1)).alias("same"))
