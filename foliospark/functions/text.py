@@ -42,8 +42,13 @@ def has_quotes(c: Column) -> Column:
     return c.rlike(f"[{V.QUOTES}]")
 
 
+#: What every address holds, and what every line holds that a noise template can fill: cheap tests that spare the costly ones.
+_DOTTED = "(?i)[a-z0-9][.][a-z]{2}"
+_NOISY = r"(?U)[\u2E80-\u9FFF\uF900-\uFAFF\uFF00-\uFFEF©]|(?i:copyright|all rights reserved)|\A\S*\z|\A[^\p{L}]*\z"
+
+
 def _whole_url(folded: Column) -> Column:
-    return (F.regexp_extract(folded, f"(?i){V.URL}", 0) == folded) & ~folded.rlike(r"[.,!?:;)]\z")
+    return folded.rlike(_DOTTED) & (F.regexp_extract(folded, f"(?i){V.URL}", 0) == folded) & ~folded.rlike(r"[.,!?:;)]\z")
 
 
 def noise_rule(line: Column) -> Column:
@@ -59,7 +64,7 @@ def noise_rule(line: Column) -> Column:
             advert = F.when(hit, name) if advert is None else advert.when(hit, name)
         return rule.when(F.length(dense(text)) <= V.MAX_AD_LENGTH, advert)
 
-    return let(strip(line), lambda text: let(fold_wide(text), lambda folded: rules(text, folded)))
+    return let(strip(line), lambda text: F.when(text.rlike(_NOISY), let(fold_wide(text), lambda folded: rules(text, folded))))
 
 
 def is_noise_line(line: Column) -> Column:
@@ -67,7 +72,7 @@ def is_noise_line(line: Column) -> Column:
 
 
 def has_url(line: Column) -> Column:
-    return fold_wide(line).rlike(f"(?i){V.URL}")
+    return let(fold_wide(line), lambda folded: folded.rlike(_DOTTED) & folded.rlike(f"(?i){V.URL}"))
 
 
 def remove_urls(line: Column) -> Column:
@@ -80,7 +85,8 @@ def remove_urls(line: Column) -> Column:
         rest = strip(F.regexp_replace(F.regexp_replace(folded, pattern, ""), r"(?U)\s{2,}", " "))
         return let(n, lambda k: F.struct(F.when(k > 0, rest).otherwise(text).alias("line"), k.alias("n")))
 
-    return let(line, lambda text: let(fold_wide(text), lambda folded: cut(text, folded)))
+    untouched = lambda text: F.struct(text.alias("line"), F.when(text.isNotNull(), 0).alias("n"))
+    return let(line, lambda text: let(fold_wide(text), lambda folded: F.when(folded.rlike(_DOTTED), cut(text, folded)).otherwise(untouched(text))))
 
 
 def is_site_signature(line: Column) -> Column:

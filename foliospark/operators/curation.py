@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
-from foliospark.functions.fixed_values import RECOMMEND
+from foliospark.functions.fixed_values import CJK, PUNCTUATION, RECOMMEND
 
 
 def reused(df: DataFrame) -> DataFrame:
@@ -90,14 +90,19 @@ def drop_lines(lines: DataFrame, repeated: DataFrame, book: str) -> DataFrame:
 
 def article_code(text, paragraphs, link_density=None, title=None, continuation: bool = False):
     """The gate's verdict on an article, the first that holds: too_short, not_cjk_prose, looks_like_index_page, looks_like_word_soup, template_repeat, ok."""
-    body = T.strip(text)
-    size = F.length(T.dense(text))
     links = link_density if link_density is not None else F.lit(0.0)
     allowed = T.has_chapter_mark(title) if continuation and title is not None else F.lit(False)
-    return (
-        F.when((size == 0) | ((size < 200) & ~allowed), "too_short").when((T.cjk_ratio(body) < 0.3) & (size < 800), "not_cjk_prose").when(links > 0.25, "looks_like_index_page")
-        .when(T.punctuation_density(body) < 0.01, "looks_like_word_soup").when(T.repeated_line_ratio(paragraphs) > 0.5, "template_repeat").otherwise("ok")
-    )
+
+    def code(body: Column) -> Column:
+        """The verdict on the text without white space, which is made once."""
+        size = F.length(body)
+        share = lambda pattern: F.regexp_count(body, F.lit(pattern)) / size
+        return (
+            F.when((size == 0) | ((size < 200) & ~allowed), "too_short").when((size < 800) & (share(CJK) < 0.3), "not_cjk_prose").when(links > 0.25, "looks_like_index_page")
+            .when(share(PUNCTUATION) < 0.01, "looks_like_word_soup").when(T.repeated_line_ratio(paragraphs) > 0.5, "template_repeat").otherwise("ok")
+        )
+
+    return T.let(T.dense(text), code)
 
 
 def chapter_report(lines: DataFrame, ratio: float) -> DataFrame:
