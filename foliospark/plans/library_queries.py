@@ -69,10 +69,26 @@ def trial_choice(spark, d):
     return B.choose_trial(o, "k", 300000)
 
 
-@query(f"select doc_id, count(*)::int n_lines, sum(length(trim(line)))::bigint n_chars from {LINES} where trim(line) <> '' group by 1")
+@query(f"""with recursive l as (select doc_id, trim(line) line, row_number() over (partition by doc_id order by pos) k from {LINES} where trim(line) <> ''),
+  r as (select doc_id, k, length(line) size, length(line) filled, 1 part from l where k = 1
+    union all select l.doc_id, l.k, length(l.line), case when r.filled >= 2000 then 0 else r.filled end + length(l.line), r.part + (r.filled >= 2000)::int from r join l on l.doc_id = r.doc_id and l.k = r.k + 1)
+  select doc_id, part chapter, '第 ' || part || ' 段' title, count(*)::int n_paragraphs, sum(size)::bigint n_chars from r group by 1, 2""")
 def text_segments(spark, d):
-    seg = B.segment_text(S.lines(spark, d), "doc_id")
-    return seg.groupBy("doc_id").agg(F.sum("n_paragraphs").cast("int").alias("n_lines"), F.sum("n_chars").alias("n_chars"))
+    return B.segment_text(S.lines(spark, d), "doc_id", 2000)
+
+
+@query(f"""with l as (select doc_id, pos, trim(line) line, max(pos) over (partition by doc_id) last from {LINES}), body as (select doc_id, pos // 4 part, pos // 12 volume, line, last from l where line <> ''),
+  many as (select doc_id, part, case when part % 3 = 0 then '第' || volume + 1 || '卷 · ' else '' end || '第' || part + 1 || '章 起' title, count(*)::int n, sum(length(line))::bigint c from body where last >= 2 group by all),
+  few as (select doc_id, count(*)::int n, sum(length(line))::bigint c from (select doc_id, line from l union all select doc_id, '第1卷' from l where pos = 0 union all select doc_id, '第1章 起' from l where pos = 0) where line <> '' and doc_id in (select doc_id from l where last < 2) group by 1)
+  select doc_id, (row_number() over (partition by doc_id order by part))::int chapter, title, n n_paragraphs, c n_chars from many union all select doc_id, 1, '第 1 段', n, c from few""")
+def heading_segments(spark, d):
+    """A chapter's heading before every fourth line and once more two lines later, a volume's before every twelfth; under three headings the text is one part."""
+    lines = S.lines(spark, d)
+    chapter = F.concat(F.lit("第"), F.floor(F.col("pos") / 4) + 1, F.lit("章 起"))
+    volume = F.concat(F.lit("第"), F.floor(F.col("pos") / 12) + 1, F.lit("卷"))
+    heads = F.array(F.when(F.col("pos") % 12 == 0, volume), F.when(F.col("pos") % 2 == 0, chapter), F.col("line"))
+    put = lines.select("doc_id", F.col("pos").alias("at"), F.posexplode(heads).alias("k", "line")).where("line is not null")
+    return B.segment_text(put.select("doc_id", (F.col("at") * 3 + F.col("k")).alias("pos"), "line"), "doc_id", 1 << 30)
 
 
 @query("select k, width from (values ('s', 690)) t(k, width)")
