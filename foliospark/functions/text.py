@@ -47,6 +47,19 @@ _DOTTED = "(?i)[a-z0-9][.][a-z]{2}"
 _NOISY = r"(?U)[\u2E80-\u9FFF\uF900-\uFAFF\uFF00-\uFFEF©]|(?i:copyright|all rights reserved)|\A\S*\z|\A[^\p{L}]*\z"
 
 
+#: What a line may hold that some pass of cleaning could act on: characters beyond Latin, Greek and the like, white space that would
+#: fold, runs of stops, addresses and notices of copyright. The letters left out of the ranges are those that match ASCII ones without case.
+_BUSY = (
+    r"[^ !-~À-\u012F\u0132-\u017E\u0180-\u167F\u2010-\u2015]|  |\A | \z|[.]{3}|(?i:[a-z0-9][.][a-z]{2})"
+    r"|[cC][oO][pP][yY][rR][iI][gG][hH][tT]|[aA][lL][lL] [rR][iI][gG][hH][tT][sS] "
+)
+
+
+def is_plain(line: Column) -> Column:
+    """Whether the line surely passes cleaning as it is: words parted by single spaces, with none of what the passes look for."""
+    return line.contains(" ") & line.rlike("[A-Za-z]") & ~line.rlike(_BUSY)
+
+
 def _whole_url(folded: Column) -> Column:
     return folded.rlike(_DOTTED) & (F.regexp_extract(folded, f"(?i){V.URL}", 0) == folded) & ~folded.rlike(r"[.,!?:;)]\z")
 
@@ -111,18 +124,43 @@ def _ellipsis(c: Column) -> Column:
 
 def normalize_line(c: Column) -> Column:
     """White space folded, none between CJK; ellipses alike; inline notices out; half-width marks after CJK made full."""
+    return _normalized(_tight(c))
+
 
+def _normalized(tight: Column) -> Column:
     def widened(value: Column) -> Column:
         for half, wide in V.FULL_WIDTH:
             value = F.regexp_replace(value, rf"(?U)(?<=[一-鿿])\s*\{half}\s*(?!\d)", wide)
         return F.regexp_replace(value, r"(?U)\(\s*([一-鿿](?:[^()]*[^()\s])?)\s*\)", "（$1）")
 
     # marks are widened beside CJK alone, so other lines skip those passes
-    return collapse(let(_strip_inline(_ellipsis(_tight(c))), lambda v: F.when(v.rlike("[一-鿿]"), widened(v)).otherwise(v)))
+    return collapse(let(_strip_inline(_ellipsis(tight)), lambda v: F.when(v.rlike("[一-鿿]"), widened(v)).otherwise(v)))
 
 
 def inline_notice_only(c: Column) -> Column:
-    return let(_ellipsis(_tight(c)), lambda before: (before != "") & (_strip_inline(before) == ""))
+    return _notice_only(_tight(c))
+
+
+def _notice_only(tight: Column) -> Column:
+    return let(_ellipsis(tight), lambda before: (before != "") & (_strip_inline(before) == ""))
+
+
+def judged_line(line: Column) -> Column:
+    """(rule, clean, review) of a line on its own: the rule that removes it ('' for a blank line) or null, its clean text, the review it needs or null."""
+
+    def judged(raw: Column, tight: Column) -> Column:
+        found = F.struct(
+            F.coalesce(noise_rule(tight), F.when(_notice_only(tight), "站点提示")).alias("rule"), _normalized(tight).alias("clean"),
+            (remove_urls(raw)["n"] > 0).alias("fragments"), has_url(raw).alias("address"),
+        )
+        return let(found, lambda f: let(F.when(f["fragments"], remove_urls(f["clean"])["line"]).otherwise(f["clean"]), lambda clean: F.struct(
+            F.when(f["rule"].isNull() & (clean == ""), "").otherwise(f["rule"]).alias("rule"), clean.alias("clean"),
+            F.when(f["rule"].isNull(), F.when(f["fragments"], "网址片段").when(f["address"], "网址片段待复核")).alias("review"),
+        )))
+
+    none = F.lit(None).cast("string")
+    as_it_is = F.struct(none.alias("rule"), line.alias("clean"), none.alias("review"))
+    return F.when(is_plain(line), as_it_is).otherwise(let(line, lambda raw: let(_tight(raw), lambda tight: judged(raw, tight))))
 
 
 def ratio(c: Column, pattern: str) -> Column:

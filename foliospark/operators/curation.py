@@ -38,14 +38,8 @@ def clean_lines(lines: DataFrame, key: str, title: str | None = None) -> DataFra
     In order: noise templates, lines that are an inline notice alone, addresses cut out, blank lines, the title; then the tail
     from the first recommendation at 60 % of the kept lines or later, lines that flood the document, and adjacent repeats.
     """
-    raw = F.col("line")
-    source = T._tight(raw)
-    t = lines.withColumns({"rule": T.noise_rule(source), "fragments": T.remove_urls(raw)["n"] > 0, "clean": T.normalize_line(raw)})
-    fragments = F.col("fragments")
-    t = t.withColumn("rule", F.when(F.col("rule").isNull() & T.inline_notice_only(raw), "站点提示").otherwise(F.col("rule")))
-    t = t.withColumn("clean", F.when(fragments, T.remove_urls(F.col("clean"))["line"]).otherwise(F.col("clean")))
-    t = t.withColumn("review", F.when(F.col("rule").isNull() & fragments, "网址片段").when(F.col("rule").isNull() & T.has_url(raw), "网址片段待复核"))
-    t = t.withColumn("rule", F.when(F.col("rule").isNull() & (F.col("clean") == ""), "").otherwise(F.col("rule")))
+    t = lines.withColumn("__judged", T.judged_line(F.col("line")))
+    t = t.withColumns({c: F.col("__judged")[c] for c in ("rule", "clean", "review")}).drop("__judged")
     if title:
         t = t.withColumn("rule", F.when(F.col("rule").isNull() & (F.col("clean") == T.normalize_line(T.strip_site_suffix(F.col(title)))), "章节标题").otherwise(F.col("rule")))
     doc = Window.partitionBy(key)
@@ -61,7 +55,7 @@ def clean_lines(lines: DataFrame, key: str, title: str | None = None) -> DataFra
     alive = F.col("rule").isNull()
     before = F.last(F.when(alive, F.col("clean")), ignorenulls=True).over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     t = t.withColumn("rule", F.when(alive & (before == F.col("clean")), "相邻重复").otherwise(F.col("rule")))
-    return t.withColumn("clean", F.when(F.col("rule").isNull(), F.col("clean"))).drop("k", "kept", "cut", "n", "fragments")
+    return t.withColumn("clean", F.when(F.col("rule").isNull(), F.col("clean"))).drop("k", "kept", "cut", "n")
 
 
 def removal_log(cleaned: DataFrame, key: str) -> DataFrame:
@@ -141,17 +135,22 @@ def render_txt_parts(book: DataFrame, title: str, size: int) -> DataFrame:
     return parts.groupBy("book", "part").agg(F.array_join(pieces, "").alias("text"))
 
 
-def numbered(docs: DataFrame, book: str, key: str) -> DataFrame:
-    """docs with chapter (place within its book by key, from 1) and last (the book's count); a book is dealt over many tasks.
+def ranged(rows: DataFrame, book: str, key: str) -> DataFrame:
+    """rows ranged by book and key, with __slot, the number of their range: a book is dealt over many tasks, which hold its rows in order."""
+    return reused(rows.repartitionByRange(book, key).withColumn("__slot", F.spark_partition_id()))
 
-    Rows are ranged by book and key; within a range they are counted, and the counts of the ranges before are added. All columns
-    are shuffled, so texts are better joined by the key afterwards.
+
+def numbered(docs: DataFrame, book: str, key: str, number: str = "chapter", last: str = "last") -> DataFrame:
+    """docs with their place within the book by key, from 1, and the book's count; a book is dealt over many tasks.
+
+    Within a range rows are counted, and the counts of the ranges before are added. All columns are shuffled, so texts are better
+    joined by the key afterwards.
     """
-    placed = reused(docs.repartitionByRange(book, key).withColumn("slot", F.spark_partition_id()))
-    counts = placed.groupBy(book, "slot").agg(F.count("*").alias("n"))
+    placed = ranged(docs, book, key)
+    counts = placed.groupBy(book, "__slot").agg(F.count("*").alias("n"))
     whole = Window.partitionBy(book)
-    before = F.coalesce(F.sum("n").over(whole.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(F.col(book).alias("__book"), F.col("slot").alias("__slot"), before.alias("before"), F.sum("n").over(whole).alias("last"))
-    ranked = placed.withColumn("chapter", F.row_number().over(Window.partitionBy(book, "slot").orderBy(key)))
-    joined = ranked.join(counts, ranked[book].eqNullSafe(counts["__book"]) & (ranked["slot"] == counts["__slot"]))
-    return joined.withColumn("chapter", F.col("chapter") + F.col("before")).drop("__book", "__slot", "slot", "before")
+    before = F.coalesce(F.sum("n").over(whole.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col(book).alias("__book"), F.col("__slot").alias("__at"), before.alias("__before"), F.sum("n").over(whole).alias(last))
+    ranked = placed.withColumn(number, F.row_number().over(Window.partitionBy(book, "__slot").orderBy(key)))
+    joined = ranked.join(counts, ranked[book].eqNullSafe(counts["__book"]) & (ranked["__slot"] == counts["__at"]))
+    return joined.withColumn(number, F.col(number) + F.col("__before")).drop("__book", "__at", "__slot", "__before")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
 from foliospark.functions import urls as U
 from foliospark.functions.fixed_values import NAV_WORDS
+from foliospark.operators.curation import numbered, ranged
 
 MAX_CHAPTER = 20_000
 
@@ -122,21 +123,34 @@ def select_ranges(spark: SparkSession, items: DataFrame, key: str, index: str, t
 
 def fixed_volumes(chapters: DataFrame, key: str, order: str, size: int) -> DataFrame:
     """Chapters with volume number and zero-padded label, `size` to a volume."""
-    w = Window.partitionBy(key)
-    t = chapters.withColumn("volume", F.floor((F.row_number().over(w.orderBy(order)) - 1) / size) + 1)
-    return _labelled(t, key)
+    t = numbered(chapters, key, order, "__place", "__last")
+    t = t.withColumn("volume", F.floor((F.col("__place") - 1) / size) + 1)
+    width = F.length((F.floor((F.col("__last") - 1) / size) + 1).cast("string"))
+    return t.withColumn("label", _label(width)).drop("__place", "__last")
 
 
 def run_volumes(chapters: DataFrame, key: str, order: str, label: str) -> DataFrame:
     """Chapters with the number of their run of equal labels."""
-    w = Window.partitionBy(key).orderBy(order)
-    new = (~F.lag(label).over(w).eqNullSafe(F.col(label)) | (F.row_number().over(w) == 1)).cast("int")
-    return chapters.withColumn("__new", new).withColumn("volume", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__new")
+    placed = ranged(chapters, key, order)
+    within = Window.partitionBy(key, "__slot").orderBy(order)
+    new = (~F.lag(label).over(within).eqNullSafe(F.col(label)) | (F.row_number().over(within) == 1)).cast("int")
+    placed = placed.withColumn("volume", F.sum(new).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # a range's first run goes on with the last of the range before where their labels are equal
+    slots = placed.groupBy(key, "__slot").agg(F.max("volume").alias("runs"), F.min_by(F.struct(label), order).alias("first"), F.max_by(F.struct(label), order).alias("end"))
+    book = Window.partitionBy(key).orderBy("__slot")
+    on = F.coalesce(F.lag("end").over(book) == F.col("first"), F.lit(False)).cast("int")
+    slots = slots.withColumn("on", on).withColumn("before", F.coalesce(F.sum(F.col("runs") - F.col("on")).over(book.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    slots = slots.select(F.col(key).alias("__key"), F.col("__slot").alias("__at"), (F.col("before") - F.col("on")).alias("__before"))
+    met = placed.join(slots, placed[key].eqNullSafe(slots["__key"]) & (placed["__slot"] == slots["__at"]))
+    return met.withColumn("volume", F.col("volume") + F.col("__before")).drop("__key", "__at", "__before", "__slot")
 
 
 def _labelled(t: DataFrame, key: str) -> DataFrame:
-    width = F.length(F.max("volume").over(Window.partitionBy(key)).cast("string"))
-    return t.withColumn("label", F.concat(F.lit("第"), F.lpad(F.col("volume").cast("string"), width, F.lit("0")), F.lit("卷")))
+    return t.withColumn("label", _label(F.length(F.max("volume").over(Window.partitionBy(key)).cast("string"))))
+
+
+def _label(width: Column) -> Column:
+    return F.concat(F.lit("第"), F.lpad(F.col("volume").cast("string"), width, F.lit("0")), F.lit("卷"))
 
 
 def pack_by_size(chapters: DataFrame, key: str, order: str, size: str, limit: int) -> DataFrame:

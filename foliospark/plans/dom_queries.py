@@ -22,13 +22,10 @@ def query(sql: str | None = None):
     return add
 
 
-TAGS = ("p", "li", "a", "b", "br", "h1", "article", "footer", "nav", "div")
-
-
-@query("select page_id, tag, n from (select page_id, unnest([" + ", ".join(f"'{t}'" for t in TAGS) + "]) tag, unnest([" + ", ".join(f"len(regexp_extract_all(html, '<{t}[ >]'))" + ("" if t != "p" else " - len(regexp_extract_all(html, '\"</p>\"')) * 0") for t in TAGS) + "])::bigint n from pages) where n > 0")
+@query("select page_id, lower(tag) tag, count(*) n from (select page_id, unnest(regexp_extract_all(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<([A-Za-z][A-Za-z0-9-]*)', 1)) tag from pages) group by 1, 2")
 def html_nodes_summary(spark, d):
     n = D.nodes(S.table(spark, d, "pages").select("page_id", "html"))
-    return n.where(F.col("tag").isin(*TAGS)).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    return n.where("tag is not null").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 @query("select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">[^<]*</a>', 1)) href, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)) title from pages")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import urls as U
+from foliospark.operators import curation as C
 from foliospark.operators import images as I
 from foliospark.operators import links as K
 from foliospark.operators import robots as R
@@ -114,7 +115,7 @@ def size_packing(spark, d):
 @query("""with c as (select source, doc_id, row_number() over (partition by source order by doc_id) idx from documents), r(segment, low, high) as (values (0, 8, 10), (1, 1, 3), (2, 40, 20000))
   select source, doc_id, row_number() over (partition by source order by segment, idx) place from c join r on idx between low and high""")
 def range_segments(spark, d):
-    t = S.chapters(spark, d).withColumnRenamed("book", "source")
+    t = C.numbered(S.table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id")
     return K.select_ranges(spark, t, "source", "chapter", "8-10,1-3,40-").select("source", "doc_id", "place")
 
 
@@ -204,9 +205,9 @@ def ocr_merge(spark, d):
     return K.merge_ocr_lines(spark.createDataFrame(OCR, "page string, pos int, text string, x0 int, x1 int"))
 
 
-@query("""with recursive e as (select n_nationkey src, (n_nationkey * 7 + 3) % 25 dst from nation), w as (select n_nationkey start, 1 step, n_nationkey page, [n_nationkey] seen from nation where n_regionkey = 1
+@query("""with recursive e as (select n_nationkey src, (n_nationkey * 7 + 3) % 25 dst from nation), w as (select n_nationkey start, 1 step, n_nationkey page, [n_nationkey] seen from nation
   union all select start, step + 1, dst, list_append(seen, dst) from w join e on src = page where not list_contains(seen, dst) and step < 12) select start, step::int step, page::int page from w""")
 def page_walk(spark, d):
     n = S.table(spark, d, "nation")
     edges = n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("dst"))
-    return K.settle_walk(spark, edges, n.where("n_regionkey = 1").select(F.col("n_nationkey").alias("page")), 12)
+    return K.settle_walk(spark, edges, n.select(F.col("n_nationkey").alias("page")), 12)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import urls as U
 from foliospark.functions import values as V
+from foliospark.operators import curation as C
 from foliospark.operators import links as K
 from foliospark.operators import shelf as H
 from foliospark.sources import tables as S
@@ -108,8 +109,8 @@ def repeated_ranges(spark, d):
 
 @query("select source, count(*) selected from (select source, row_number() over (partition by source order by doc_id) k from documents) where k between 1 and 3 or k between 7 and 8 or k >= 10 group by 1")
 def selected_counts(spark, d):
-    chosen = K.select_ranges(spark, S.chapters(spark, d).drop("text"), "book", "chapter", "1-3,7-8,10-")
-    return chosen.groupBy(F.col("book").alias("source")).agg(F.count("*").alias("selected"))
+    chosen = K.select_ranges(spark, C.numbered(S.table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id"), "source", "chapter", "1-3,7-8,10-")
+    return chosen.groupBy("source").agg(F.count("*").alias("selected"))
 
 
 @query("""select o_orderkey, case o_orderkey % 5 when 0 then 'pdf' when 1 then 'cbz,pdf' when 2 then null when 3 then null else 'zip' end formats from orders""")

@@ -156,23 +156,15 @@ def title_color(spark, d):
     return S.table(spark, d, "part").select("p_partkey", T.cloth_color(F.col("p_name")).alias("color"))
 
 
-@query(f"""select source book, sha256(source || repeat(chr(10), 4) || string_agg('第 ' || chapter || ' 章' || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)), repeat(chr(10), 4) order by chapter) || chr(10)) digest
-  from (select source, text, row_number() over (partition by source order by doc_id) chapter from documents) where chapter <= 5 group by 1""")
-def txt_render(spark, d):
-    book = S.chapters(spark, d).where("chapter <= 5")
-    book = book.select("book", "chapter", F.concat(F.lit("第 "), F.col("chapter"), F.lit(" 章")).alias("heading"), F.split("text", "\n").alias("paragraphs"), F.lit(None).cast("string").alias("missing_reason"), F.lit("").alias("source_url"))
-    return C.render_txt(book, "book").select("book", F.sha2("text", 256).alias("digest"))
-
-
-#: Chapters in one part of txt_render_whole.
+#: Chapters in one part of txt_render.
 PART = 16
 
 
 @query(f"""select source book, part, sha256(case when part = 0 then source else '' end || string_agg(repeat(chr(10), 4) || '第 ' || chapter || ' 章' || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)), '' order by chapter)
   || case when max(chapter) = max(last) then chr(10) else '' end) digest
   from (select *, (chapter - 1) // {PART} part from (select source, text, row_number() over (partition by source order by doc_id) chapter, count(*) over (partition by source) last from documents)) group by 1, 2""")
-def txt_render_whole(spark, d):
-    """All chapters of every book, digested in parts: txt_render, bound by its SQL, renders the first five."""
+def txt_render(spark, d):
+    """All chapters of every book, digested in parts, so that no row holds a book."""
     docs = S.table(spark, d, "documents")
     book = C.numbered(docs.select(F.col("source").alias("book"), "doc_id"), "book", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
     book = book.select("book", "chapter", "last", F.concat(F.lit("第 "), F.col("chapter"), F.lit(" 章")).alias("heading"), F.split("text", "\n").alias("paragraphs"), F.lit(None).cast("string").alias("missing_reason"), F.lit("").alias("source_url"))

@@ -233,3 +233,42 @@ def test_books_render_whole(spark):
     whole = {r.book: r.text for r in C.render_txt(book, "book").collect()}
     parts = {b: "".join(r.text for r in sorted(C.render_txt_parts(book, "book", 4).where(F.col("book") == b).collect(), key=lambda r: r.part)) for b in whole}
     assert parts == whole and all(f"# {k}\n" in parts["a"] for k in range(1, 42))
+
+
+def test_plain_lines_pass_cleaning_as_they_are(spark):
+    """is_plain() spares lines all passes: whatever it says yes to, each pass must leave alone, however odd the line's parts."""
+    bits = ["", " ", "\t", "　", "​", "...", "…", "。", "www.abc.com", "abc.com", "A.bc", "©", "COPYRIGHT", "all rights reserved", "all rightſ reserved", "Kom.top", "第1章", "12", "求推荐票", '"', "–", "é", "Ж", "\x85", "e.g. this", "3.14", "the cat sat"]
+    rows = [(a + m + b,) for a in bits for m in (" ", " word ") for b in bits] + [(None,), ("",), ("word",), ("the cat sat",)]
+    line = F.col("line")
+    seen = spark.createDataFrame(rows, "line string").select(
+        "line", T.is_plain(line).alias("plain"), T.judged_line(line).alias("j"), T.noise_rule(T._tight(line)).alias("rule"), T.normalize_line(line).alias("clean"), T.remove_urls(line)["n"].alias("n"), T.has_url(line).alias("url"), T.inline_notice_only(line).alias("notice"),
+    ).collect()
+    plain = [r for r in seen if r["plain"]]
+    assert len(plain) >= 20 and {"the cat sat", "é word Ж"} <= {r["line"] for r in plain}
+    for r in plain:
+        assert (r["rule"], r["clean"], r["n"], r["url"], r["notice"]) == (None, r["line"], 0, False, False)
+        assert tuple(r["j"]) == (None, r["line"], None)
+    assert {"求推荐票 ", " abc.com", "", None} <= {r["line"] for r in seen if not r["plain"]}
+
+
+def test_books_over_many_ranges(spark):
+    """Places, runs and volumes of books that stand in several ranges are those of a plain pass; null books and labels count like any other."""
+    rows = [(b, k, None if (k // n) % 3 == 2 else "abc"[(k // n) % 3]) for b, n in (("hot", 25), ("x", 1), (None, 4)) for k in range(200 if b == "hot" else 12)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        t = spark.createDataFrame(rows, "book string, k int, label string")
+        assert C.ranged(t, "book", "k").where("book = 'hot'").select("__slot").distinct().count() > 1
+        runs = {(r["book"], r["k"]): r["volume"] for r in K.run_volumes(t, "book", "k", "label").collect()}
+        fixed = {(r["book"], r["k"]): (r["volume"], r["label"]) for r in K.fixed_volumes(t.drop("label"), "book", "k", 9).collect()}
+        places = {(r["book"], r["k"]): (r["chapter"], r["last"]) for r in C.numbered(t, "book", "k").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    count = {b: sum(r[0] == b for r in rows) for b in ("hot", "x", None)}
+    volume, before = {}, {}
+    for b, k, label in rows:
+        volume[b] = volume.get(b, 0) + (b not in before or before[b] != label)
+        before[b] = label
+        assert runs[b, k] == volume[b] and places[b, k] == (k + 1, count[b])
+        wide = len(str((count[b] - 1) // 9 + 1))
+        assert fixed[b, k] == (k // 9 + 1, f"第{str(k // 9 + 1).zfill(wide)}卷")
+    assert len(runs) == len(fixed) == len(places) == len(rows)
