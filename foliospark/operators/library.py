@@ -61,13 +61,13 @@ def duplicate_by_hash(books: DataFrame, uploads: DataFrame) -> DataFrame:
 
 def labelled_volumes(chapters: DataFrame, labels: DataFrame, key: str, order: str, fallback: int) -> DataFrame:
     """chapters (key, order, url) in volumes by their labels (url, label); a book with a chapter without one falls back to fixed volumes."""
-    from foliospark.operators.links import _labelled, run_volumes
+    from foliospark.operators.links import fixed_volumes, run_volumes
 
-    met = chapters.join(labels, "url", "left").withColumn("__gap", F.bool_or(F.col("label").isNull()).over(Window.partitionBy(key)))
+    met = chapters.join(labels, "url", "left")
+    gaps = met.groupBy(F.col(key).alias("__book")).agg(F.bool_or(F.col("label").isNull()).alias("__gap"))
+    met = met.join(gaps, met[key].eqNullSafe(gaps["__book"])).drop("__book")
     full = run_volumes(met.where(~F.col("__gap")), key, order, "label").withColumn("fallback", F.lit(False))
-    w = Window.partitionBy(key).orderBy(order)
-    fixed = met.where("__gap").drop("label").withColumn("volume", (F.floor((F.row_number().over(w) - 1) / fallback) + 1).cast("long"))
-    fixed = _labelled(fixed, key).withColumn("fallback", F.lit(True))
+    fixed = fixed_volumes(met.where("__gap").drop("label"), key, order, fallback).withColumn("fallback", F.lit(True))
     cols = [*chapters.columns, "volume", "label", "fallback"]
     return full.select(*cols).union(fixed.select(*cols))
 

@@ -145,28 +145,10 @@ def run_volumes(chapters: DataFrame, key: str, order: str, label: str) -> DataFr
     return met.withColumn("volume", F.col("volume") + F.col("__before")).drop("__key", "__at", "__before", "__slot")
 
 
-def _labelled(t: DataFrame, key: str) -> DataFrame:
-    return t.withColumn("label", _label(F.length(F.max("volume").over(Window.partitionBy(key)).cast("string"))))
-
-
 def _label(width: Column) -> Column:
     return F.concat(F.lit("第"), F.lpad(F.col("volume").cast("string"), width, F.lit("0")), F.lit("卷"))
 
 
-def pack_by_size(chapters: DataFrame, key: str, order: str, size: str, limit: int) -> DataFrame:
-    """(key, order, size, volume): greedy volumes of at most `limit`; a chapter beyond it stands alone. One fold per book."""
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(1).alias("volume"), F.array().cast("array<int>").alias("out"))
-
-    def step(a, x):
-        fits = (a["used"] == 0) | (a["used"] + x["size"] <= limit)
-        volume = F.when(fits, a["volume"]).otherwise(a["volume"] + 1)
-        return F.struct(F.when(fits, a["used"] + x["size"]).otherwise(x["size"]).alias("used"), volume.alias("volume"), F.concat(a["out"], F.array(volume)).alias("out"))
-
-    books = chapters.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("order"), F.col(size).cast("long").alias("size")))).alias("c"))
-    packed = books.select(key, F.explode(F.arrays_zip("c", F.aggregate("c", start, step, lambda a: a["out"]).alias("v"))).alias("z"))
-    return packed.select(key, F.col("z.c.order").alias(order), F.col("z.c.size").alias("size"), F.col("z.v").alias("volume"))
-
-
 def natural_key(c):
     """An array that orders text with numbers by value: digits before other text, leading zeros decide ties."""
     chunks = F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), F.lit(1))

@@ -9,6 +9,7 @@ from foliospark.functions import urls as U
 from foliospark.operators import curation as C
 from foliospark.operators import images as I
 from foliospark.operators import links as K
+from foliospark.operators import packing as P
 from foliospark.operators import robots as R
 from foliospark.plans.text_queries import LINES, golden, quoted
 from foliospark.plans import text_queries
@@ -109,7 +110,7 @@ def consecutive_volumes(spark, d):
   f as (select source, doc_id, k, n_chars used, 1 volume from c where k = 1 union all select c.source, c.doc_id, c.k, case when f.used + c.n_chars <= 20000 then f.used + c.n_chars else c.n_chars end, case when f.used + c.n_chars <= 20000 then f.volume else f.volume + 1 end from f join c on c.source = f.source and c.k = f.k + 1)
   select source, doc_id, volume::int volume from f""")
 def size_packing(spark, d):
-    return K.pack_by_size(S.table(spark, d, "documents"), "source", "doc_id", "n_chars", 20000).select("source", "doc_id", "volume")
+    return P.pack_by_size(S.table(spark, d, "documents"), "source", "doc_id", "n_chars", 20000).select("source", "doc_id", "volume")
 
 
 @query("""with c as (select source, doc_id, row_number() over (partition by source order by doc_id) idx from documents), r(segment, low, high) as (values (0, 8, 10), (1, 1, 3), (2, 40, 20000))

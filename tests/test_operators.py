@@ -15,6 +15,7 @@ from foliospark.operators import curation as C
 from foliospark.operators import dom as D
 from foliospark.operators import ledger as L
 from foliospark.operators import links as K
+from foliospark.operators import packing as P
 from foliospark.operators import robots as R
 from foliospark.sources import books as B
 from foliospark.sources import sinks as W
@@ -272,3 +273,25 @@ def test_books_over_many_ranges(spark):
         wide = len(str((count[b] - 1) // 9 + 1))
         assert fixed[b, k] == (k // 9 + 1, f"第{str(k // 9 + 1).zfill(wide)}卷")
     assert len(runs) == len(fixed) == len(places) == len(rows)
+
+
+def test_packing_over_many_ranges(spark):
+    """Volumes of books that stand in several ranges are those of the plain fold; sizes of zero, null and beyond the limit included."""
+    import random
+
+    rng, limit = random.Random(7), 10
+    rows = [(b, k, rng.choice([0, None, 1, 2, 3, 5, 9, 10, 11, 40])) for b, n in (("hot", 400), ("x", 1), (None, 30), ("zero", 20)) for k in range(n)]
+    rows = [(b, k, 0 if b == "zero" else s) for b, k, s in rows]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        t = spark.createDataFrame(rows, "book string, k int, bytes int")
+        got = {(r["book"], r["k"]): r["volume"] for r in P.pack_by_size(t, "book", "k", "bytes", limit).collect()}
+        assert P.pack_by_size(t.limit(0), "book", "k", "bytes", limit).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    states = {}
+    for b, k, s in rows:
+        used, volume = states.get(b, (0, 1))
+        states[b] = (used + (s or 0), volume) if used == 0 or used + (s or 0) <= limit else (s or 0, volume + 1)
+        assert got[b, k] == states[b][1]
+    assert len(got) == len(rows)
