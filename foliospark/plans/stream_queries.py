@@ -14,7 +14,12 @@ QUERIES, ORACLES = {}, {}
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliospark-")
+    """A new folder in spark.checkpoint.dir; where that is unset, one of this machine, for a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="foliospark-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
