@@ -46,6 +46,18 @@ def test_webp_and_jpeg_variants():
     assert probe(None) == probe(b"text") == (None, 0, 0, False)
 
 
+def test_a_gif_ends_at_its_end_mark_alone():
+    head = lambda width, height, flags=0: b"GIF89a" + struct.pack("<HHB", width, height, flags) + b"\0\0"
+    image = b"\x21\xf9\4\0\0\0\0\0" + b"\x2c\0\0\0\0\1\0\1\0\x80" + bytes(6) + b"\2\2;;\0"
+    for width, height in ((5, 59), (59, 13), (59 << 8, 10)):
+        assert probe(head(width, height)) == ("gif", width, height, False)
+        assert probe(head(width, height) + b";") == probe(head(width, height) + b"\0;\r\n\0") == ("gif", width, height, True)
+    whole = head(1, 1, 0x81) + b";" * 12 + image + b";"
+    assert probe(whole) == ("gif", 1, 1, True)
+    assert not any(probe(whole[:n])[3] for n in range(len(whole)))
+    assert probe(head(1, 1) + b"\7;") == ("gif", 1, 1, False)
+
+
 def test_records():
     assert canonical('{"b": 1.5, "a": {"d": [], "c": null}}') == '{"a":{"c":null,"d":[]},"b":1.5}'
     for refused in (None, "", "[]", "1", '{"a":1,"a":1}', '{"a":{"b":1,"b":2}}', '{"a":Infinity}', '{"a":1} x', "{" * 100_000, '{"a":' * 100_000, '{"a":1e999}'):

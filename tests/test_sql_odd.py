@@ -36,3 +36,9 @@ def test_an_origin_has_scheme_and_port(spark, a, b, same):
     from foliospark.functions import urls as U
 
     assert spark.range(1).select(U.same_origin(F.lit(a), F.lit(b))).first()[0] is same
+
+
+def test_image_headers(spark, both):
+    rows = [(order, line, part, supplier) for order in range(6) for line in (3, 4) for part in (4, 58, 3058) for supplier in (1, 2434, 5837, 2676)]
+    got, want = both("image_headers", lineitem=spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"))
+    assert got == want and any(r[2] == "gif" and r[4] == 59 for r in got)
