@@ -114,10 +114,13 @@ def parse_ranges(text: str) -> list[tuple[int, int | None]]:
 
 
 def select_ranges(spark: SparkSession, items: DataFrame, key: str, index: str, text: str) -> DataFrame:
-    """The items whose index lies in a segment, with `place` in the order of segments: a range join on the parsed, short list."""
-    segments = [(i, a, b or MAX_CHAPTER) for i, (a, b) in enumerate(parse_ranges(text))]
+    """The items whose index lies in a segment, with `place` in the order of segments: a range join on the parsed, short list.
+
+    An open segment goes on to the last item, however many there are.
+    """
+    segments = [(i, a, b) for i, (a, b) in enumerate(parse_ranges(text))]
     ranges = spark.createDataFrame(segments, "segment int, low int, high int")
-    met = items.join(F.broadcast(ranges), F.col(index).between(F.col("low"), F.col("high")))  # at most 100 segments: the text has 200 characters
+    met = items.join(F.broadcast(ranges), (F.col(index) >= F.col("low")) & (F.col("high").isNull() | (F.col(index) <= F.col("high"))))  # at most 100 segments: the text has 200 characters
     return met.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("segment", index))).drop("low", "high")
 
 

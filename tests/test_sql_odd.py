@@ -42,3 +42,18 @@ def test_image_headers(spark, both):
     rows = [(order, line, part, supplier) for order in range(6) for line in (3, 4) for part in (4, 58, 3058) for supplier in (1, 2434, 5837, 2676)]
     got, want = both("image_headers", lineitem=spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"))
     assert got == want and any(r[2] == "gif" and r[4] == 59 for r in got)
+
+
+@pytest.mark.parametrize("name", ["selected_counts", "range_segments"])
+def test_long_books(spark, both, name):
+    docs = spark.range(20_100).selectExpr("id + 7 as doc_id", "if(id < 15, 'b', 'a') as source")
+    got, want = both(name, documents=docs)
+    assert got == want
+
+
+def test_an_open_range_ends_with_the_items(spark):
+    from foliospark.operators import links as K
+
+    items = spark.createDataFrame([("a", 2), ("a", 5), ("a", 20_000), ("a", 20_001), ("b", 3_000_000_000)], "book string, at long")
+    got = [(r.book, r.at, r.place) for r in K.select_ranges(spark, items, "book", "at", "5,19999-").orderBy("book", "place").collect()]
+    assert got == [("a", 5, 1), ("a", 20_000, 2), ("a", 20_001, 3), ("b", 3_000_000_000, 1)]
