@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliospark.sources import tables as S
 from foliospark.streaming import settled as T
 
 QUERIES, ORACLES = {}, {}
+_ROWS = "task_id long, chapter long, page long, total long, status string"
 
 
 def _folder(spark) -> str:
@@ -25,12 +27,15 @@ def _folder(spark) -> str:
 
 def stream_settled(spark, d):
     """Settled tasks by the stateful stream; equal to the batch query settled_chapters."""
-    r = S.resources(spark, d)
-    total = r.groupBy("task_id").agg(F.count("*").alias("total"))
-    rows = r.join(total, "task_id").select(F.col("task_id").cast("long"), F.lit(1).cast("long").alias("chapter"), F.col("page").cast("long"), "total", "status")
+    total = F.count("*").over(Window.partitionBy("task_id"))  # dealt as the pages were to be numbered
+    rows = S.resources(spark, d).select(F.col("task_id").cast("long"), F.lit(1).cast("long").alias("chapter"), F.col("page").cast("long"), total.alias("total"), "status")
     folder = _folder(spark)
-    rows.repartition(3, "page").write.parquet(f"{folder}/in")
-    stream = T.settled_stream(T.replay(spark, f"{folder}/in", "task_id long, chapter long, page long, total long, status string", 2))
+    rows.withColumn("part", F.pmod(F.hash("page"), F.lit(3))).write.partitionBy("part").parquet(f"{folder}/rows")
+    written = spark.read.schema(f"{_ROWS}, part int").parquet(f"{folder}/rows")
+    for part in range(3):  # one after another: the stream reads files by age, so that a task's pages come in both batches
+        written.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{folder}/in")
+    files = len(spark.read.schema(_ROWS).parquet(f"{folder}/in").inputFiles())
+    stream = T.settled_stream(T.replay(spark, f"{folder}/in", _ROWS, max(1, 2 * files // 3)))
     T.run_available(stream, f"{folder}/state", f"{folder}/out")
     return spark.read.schema(T.OUT).parquet(f"{folder}/out").select("task_id", "pages", "failed", "status")
 

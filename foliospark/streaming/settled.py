@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,41 +15,108 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 OUT = "task_id long, chapter long, pages long, failed long, status string"
 
 
+# Groups of chapters that share a state. A stream keeps the number it was started with.
+BUCKETS = 4096
+# Lists of reported chapters in a bucket's state beyond which they are joined into one.
+LISTS = 32
+# What a row says of its page.
+OPEN, DONE, FAILED = 0, 1, 2
+
+
+def _pack(rows: np.ndarray) -> bytes:
+    """Rows by columns, whose numbers are alike, and compressed."""
+    return zlib.compress(np.ascontiguousarray(rows.T, np.int64).tobytes(), 1)
+
+
+def _unpack(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.int64).reshape(width, -1).T
+
+
+def _first_rows(rows: np.ndarray, width: int) -> np.ndarray:
+    """rows sorted by their first columns, of which width are the key; of equal keys the first row."""
+    rows = rows[np.lexsort(rows[:, :width].T[::-1])]  # a stable sort
+    return rows[_heads(rows[:, :width])]
+
+
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """Where a new key begins in sorted keys."""
+    head = np.ones(len(keys), bool)
+    head[1:] = (keys[1:] != keys[:-1]).any(1)
+    return head
+
+
+def _listed(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """For each row of keys whether known has it."""
+    if not len(keys) or not len(known):
+        return np.zeros(len(keys), bool)
+    both = np.concatenate([known, keys])
+    order = np.lexsort(both.T[::-1])
+    group = np.cumsum(_heads(both[order]))
+    place = np.empty(len(both), np.int64)
+    place[order] = group
+    hit = np.zeros(len(both) + 1, bool)
+    hit[place[: len(known)]] = True
+    return hit[place[len(known) :]]
+
+
 class SettledChapters(StatefulProcessor):
-    """State of a chapter: pages seen, pages failed, whether it was reported. Rows need (task_id, chapter, page, total, status).
+    """State of a bucket of chapters: the ended pages of those not settled, and which were reported.
 
-    Each page reaches its end once; a page that repeats is counted once, as its number is kept until the chapter settles.
+    Rows need (task_id, chapter, page, total, ended). Each page reaches its end once; a page that repeats is counted once, as its
+    number is kept until the chapter settles. A bucket's rows are taken together: a call to the state store costs a round trip,
+    which a state per chapter would pay several times for every chapter.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState("counts", "failed long, reported boolean")
-        self.pages = handle.getMapState("pages", "page long", "done boolean")
+        self.pages = handle.getValueState("pages", "rows binary")
+        self.reported = handle.getListState("reported", "chapters binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        failed, reported = self.counts.get() if self.counts.exists() else (0, False)
-        total = 0
-        for pdf in rows:
-            for page, status, pages in zip(pdf["page"], pdf["status"], pdf["total"], strict=True):
-                total = max(total, int(pages))
-                if status in ("done", "failed") and not reported and not self.pages.containsKey((int(page),)):
-                    self.pages.updateValue((int(page),), (status == "done",))
-                    failed += status == "failed"
-        if not reported:
-            seen = sum(1 for _ in self.pages.keys())
-            if total and seen >= total:
-                reported = True
-                self.pages.clear()
-                yield pd.DataFrame([{"task_id": key[0], "chapter": key[1], "pages": seen, "failed": failed, "status": "failed" if failed else "done"}])
-        self.counts.update((failed, reported))
+        new = np.concatenate([pdf[["task_id", "chapter", "page", "total", "ended"]].to_numpy(np.int64) for pdf in rows])
+        lists = [_unpack(bytes(x[0]), 2) for x in self.reported.get()]
+        new = new[~_listed(new[:, :2], np.concatenate(lists) if lists else new[:0, :2])]
+        if not len(new):
+            return
+        before = _unpack(bytes(self.pages.get()[0]), 4) if self.pages.exists() else new[:0, :4]
+        ended = new[new[:, 4] != OPEN]
+        pages = _first_rows(np.concatenate([before, np.column_stack([ended[:, :3], ended[:, 4] == FAILED])]), 3)
+        totals = new[np.lexsort((-new[:, 3], new[:, 1], new[:, 0]))]
+        totals = totals[_heads(totals[:, :2])][:, [0, 1, 3]]  # the chapters of this batch, each with its largest total
+
+        head = np.flatnonzero(_heads(pages[:, :2]))
+        seen, failed = np.diff(np.append(head, len(pages))), np.add.reduceat(pages[:, 3], head) if len(head) else np.empty(0, np.int64)
+        chapters = pages[head, :2]
+        met = _listed(chapters, totals[:, :2])
+        total = np.zeros(len(chapters), np.int64)
+        total[met] = totals[_listed(totals[:, :2], chapters), 2]  # both are sorted
+        settled = met & (total > 0) & (seen >= total)
+        if len(ended) or settled.any():
+            self.pages.update((_pack(pages[~np.repeat(settled, seen)]),))
+        if settled.any():
+            if len(lists) < LISTS:
+                self.reported.appendValue((_pack(chapters[settled]),))
+            else:
+                self.reported.put([(_pack(np.concatenate([*lists, chapters[settled]])),)])
+            ids = [pd.array([None] * len(x) if null else x, "Int64") for x, null in zip(chapters[settled].T, key[1:], strict=True)]
+            lost = failed[settled]
+            yield pd.DataFrame({"task_id": ids[0], "chapter": ids[1], "pages": seen[settled], "failed": lost, "status": np.where(lost > 0, "failed", "done")})
 
     def close(self) -> None:
         pass
 
 
 def settled_stream(events: DataFrame) -> DataFrame:
-    """A row per chapter in the batch in which its last page ends, and never again, restarts included."""
+    """A row per chapter in the batch in which its last page ends, and never again, restarts included.
+
+    events: (task_id, chapter, page, total, status); a bucket's state and its rows of one batch must fit a task's memory.
+    """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    return events.groupBy("task_id", "chapter").transformWithStateInPandas(SettledChapters(), OUT, "append", "none")
+    ended = F.when(F.col("status") == "done", DONE).when(F.col("status") == "failed", FAILED).otherwise(OPEN)
+    bucket = F.pmod(F.xxhash64("task_id", "chapter"), F.lit(BUCKETS)).cast("int")
+    nulls = [F.col(c).isNull().alias(f"no_{c}") for c in ("task_id", "chapter")]
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c)
+    rows = events.select(bucket.alias("bucket"), *nulls, number("task_id"), number("chapter"), F.col("page").cast("long"), number("total"), ended.cast("long").alias("ended"))
+    return rows.groupBy("bucket", "no_task_id", "no_chapter").transformWithStateInPandas(SettledChapters(), OUT, "append", "none")
 
 
 def progress_stream(events: DataFrame) -> DataFrame:

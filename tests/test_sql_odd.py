@@ -57,3 +57,9 @@ def test_an_open_range_ends_with_the_items(spark):
     items = spark.createDataFrame([("a", 2), ("a", 5), ("a", 20_000), ("a", 20_001), ("b", 3_000_000_000)], "book string, at long")
     got = [(r.book, r.at, r.place) for r in K.select_ranges(spark, items, "book", "at", "5,19999-").orderBy("book", "place").collect()]
     assert got == [("a", 5, 1), ("a", 20_000, 2), ("a", 20_001, 3), ("b", 3_000_000_000, 1)]
+
+
+def test_stream_settled(spark, both):
+    rows = [(None if order == 4 else order * 2**40, line, line, 1, "F" if (order + line) % 5 else "O", "NRA"[(order * line) % 3], float(line)) for order in range(12) for line in range(1, 1 + order)]
+    got, want = both("stream_settled", lineitem=spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_linestatus string, l_returnflag string, l_quantity double"))
+    assert got == want and any(r[0] is None for r in got)
